@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding, warc
+from . import packing, sharding, token_files, warc
 
 QUERIES = {
     "op2_warc_revisits": warc.op2_warc_revisits,
+    "op4_harmonic_packing": packing.op4_harmonic_packing,
     "op7_label_propagation_shards": sharding.op7_label_propagation_shards,
+    "op9_token_parquet": token_files.op9_token_parquet,
 }
 
 ORACLES = {
