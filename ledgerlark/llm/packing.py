@@ -100,11 +100,12 @@ def harmonic_pack(rows: DataFrame, length: str, by: list[str], capacity: int = C
     taken = counts.agg(F.coalesce(F.sum("_bins"), F.lit(0)).cast("long").alias("_taken"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
 
-    def share(group):
-        group["sequence_id"], group["offset"] = _best_fit(group[length].to_numpy(), capacity)
-        return group[names]
+    def share(group: pa.Table) -> pa.Table:
+        sequence, offset = _best_fit(group.column(length).to_numpy(), capacity)
+        return group.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    rest = placed.filter("_bin >= _bins").select(*rows.columns).groupBy(F.lit(0)).applyInPandas(share, schema)
+    columns = rows.columns
+    rest = placed.filter("_bin >= _bins").select(*rows.columns, F.lit(0).alias("_one")).groupBy("_one").applyInArrow(share, schema)
     rest = rest.join(F.broadcast(taken)).withColumn("sequence_id", F.col("sequence_id") + F.col("_taken"))
     return full.select(*names).unionByName(rest.select(*names))
 
