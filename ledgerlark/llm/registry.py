@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, token_files, warc
+from . import line_templates, minhash, packing, sharding, token_files, warc
 
 QUERIES = {
     "op2_warc_revisits": warc.op2_warc_revisits,
     "op4_harmonic_packing": packing.op4_harmonic_packing,
+    "op5_bbit_minhash": minhash.op5_bbit_minhash,
     "op7_label_propagation_shards": sharding.op7_label_propagation_shards,
     "op9_token_parquet": token_files.op9_token_parquet,
+    "op10_line_templates": line_templates.op10_line_templates,
 }
 
 ORACLES = {
     "op2_warc_revisits": warc.ORACLE_SQL,
+    "op5_bbit_minhash": minhash.ORACLE_SQL,
+    "op10_line_templates": line_templates.ORACLE_SQL,
 }
