@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import line_templates, minhash, packing, sharding, token_files, warc
+from . import decontaminate, line_templates, minhash, onebit, packing, sharding, token_files, warc
 
 QUERIES = {
+    "op1_onebit_nearest": onebit.op1_onebit_nearest,
     "op2_warc_revisits": warc.op2_warc_revisits,
     "op4_harmonic_packing": packing.op4_harmonic_packing,
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
+    "op6_winnowing": decontaminate.op6_winnowing,
     "op7_label_propagation_shards": sharding.op7_label_propagation_shards,
     "op9_token_parquet": token_files.op9_token_parquet,
     "op10_line_templates": line_templates.op10_line_templates,
 }
 
 ORACLES = {
+    "op1_onebit_nearest": onebit.ORACLE_SQL,
     "op2_warc_revisits": warc.ORACLE_SQL,
     "op5_bbit_minhash": minhash.ORACLE_SQL,
+    "op6_winnowing": decontaminate.ORACLE_SQL,
     "op10_line_templates": line_templates.ORACLE_SQL,
 }
