@@ -38,6 +38,9 @@ BITS = 4
 THRESHOLD = 75  # hundredths
 #: Estimates so far below the threshold (over five standard deviations of 128 minima) need no confirmation.
 SLACK = 0.2
+#: Rows of a bucket, and their shingles, that are compared in one task at most.
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 2_000_000
 
 _ODD = np.random.default_rng(20240101).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -129,6 +132,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
     return with_b.select("a", "b", "_s", "_t").mapInArrow(run, "a long, b long")
 
 
+def linked_blocks(mixed: DataFrame, floor: float, threshold: int) -> DataFrame:
+    """Links (a, b) between the components that one bucket still has: each row outside the main one against the others.
+
+    Blocks of a bucket's stray rows meet blocks of its rows in tasks of their own. A pair is looked at in the first
+    band that it shares; of a row's links to one component, one is enough.
+    """
+    names = ["band", "key", "block", "stray_block", "rep", "component", "main", "signature", "bands", "shingles"]
+    stray = mixed.filter("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = mixed.withColumn("stray_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stray_blocks") - 1)))
+    chance = 2.0**-BITS
+    ones = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            band = left.column("band")[0].as_py()
+            rep, component, main = (right.column(c).to_numpy() for c in ("rep", "component", "main"))
+            codes, bands = (np.array(right.column(c).to_pylist()) for c in ("signature", "bands"))
+            sets = [np.frombuffer(b, np.uint64) for b in right.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            for own in left.to_pylist():
+                apart = (codes ^ np.array(own["signature"])).view(np.uint64)
+                folded = apart.copy()
+                for i in range(1, BITS):
+                    folded |= apart >> np.uint64(i)
+                differ = np.bitwise_count(folded & ones).sum(axis=1)
+                estimate = (1 - differ / PERMUTATIONS - chance) / (1 - chance)
+                size = len(own["shingles"]) // 8
+                near = (component != own["component"]) & ((component == main) | (rep < own["rep"])) & (estimate >= floor)
+                near &= (bands[:, :band] != np.array(own["bands"])[:band]).all(axis=1)
+                near &= 100 * np.minimum(sizes, size) >= threshold * np.maximum(sizes, size)
+                at = np.flatnonzero(near)
+                if not len(at):
+                    continue
+                mine = np.frombuffer(own["shingles"], np.uint64)
+                flat = np.concatenate([sets[i] for i in at])
+                place = np.minimum(np.searchsorted(mine, flat), size - 1)
+                both = np.add.reduceat((mine[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+                ok = at[100 * both >= threshold * (size + sizes[at] - both)]
+                _, one = np.unique(component[ok], return_index=True)
+                out += [(min(own["rep"], r), max(own["rep"], r)) for r in rep[ok[one]].tolist()]
+        return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    keys = ["band", "key", "block", "stray_block"]
+    return stray.select(*names).groupBy(*keys).cogroup(every.select(*names).groupBy(*keys)).applyInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """id and component, the smallest id reachable, for every id in links (a, b): alternating large and small stars.
 
@@ -161,7 +211,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     signed = stored(signatures(docs), "minhash")
     total = signed.count()
     classes = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies")
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")
     )
     classes = stored(classes, "minhash-classes")
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -171,7 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
     buckets = stored(buckets.filter("members > 1").select("band", "key", "centre"), "minhash-buckets")
     members = stored(keyed.join(buckets, ["band", "key"]), "minhash-members")
-    codes = stored(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "signature", "bands"), "minhash-codes")
+    codes = stored(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "signature", "bands", "n_shingles"), "minhash-codes")
     sets = shingle_sets(docs.join(codes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     sets = stored(sets.dropDuplicates(["doc_id"]), "minhash-sets")
 
@@ -185,21 +235,17 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     first = stored(components(links, "minhash-cc"), "minhash-first")
 
     # Buckets still in several components: what isn't in the most common one is compared with the others.
-    labelled = members.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    labelled = labelled.select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    parts = stored(labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n")), "minhash-parts")
-    split = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_rows = labelled.join(stored(split.select("band", "key", "main"), "minhash-split"), ["band", "key"])
-    open_rows = stored(open_rows.join(codes, "rep"), "minhash-open")
-    stray = open_rows.filter("component <> main").select("band", "key", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "signature", "bands")])
-    shared = F.forall(F.slice(F.zip_with("bands", "_bands", lambda x, y: x != y), F.lit(1), F.col("band")), lambda d: d)
-    pairs = stray.join(open_rows, ["band", "key"]).filter(
-        (F.col("component") != F.col("_component"))
-        & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("_rep")))
-        & (similarity(F.col("signature"), F.col("_signature")) >= floor)
-        & shared  # only in the first band that they share
+    labelled = members.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").join(codes.select("rep", "n_shingles"), "rep")
+    labelled = stored(labelled.select("band", "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "minhash-labelled")
+    parts = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    parts = parts.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_SHINGLES)))
+    split = parts.groupBy("band", "key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("blocks").alias("blocks"), (F.sum("blocks") - F.max_by("blocks", F.struct("n", "component"))).alias("stray_blocks"), F.count(F.lit(1)).alias("parts")
     )
-    more = stored(confirmed(pairs.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct(), sets, threshold), "minhash-more")
+    split = stored(split.filter("parts > 1").drop("parts"), "minhash-split")
+    mixed = labelled.join(split, ["band", "key"]).join(codes.drop("n_shingles"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    mixed = stored(mixed.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")), "stray_block": F.pmod(F.xxhash64("rep"), F.col("stray_blocks"))}), "minhash-mixed")
+    more = stored(linked_blocks(mixed, floor, threshold).distinct(), "minhash-more")
     if not more.isEmpty():
         first = stored(components(links.unionByName(more), "minhash-all"), "minhash-second")
 
