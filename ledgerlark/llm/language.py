@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import read_table
 
@@ -190,10 +191,12 @@ def spans(text: str | None, model: Model, labels: np.ndarray) -> list[tuple[int,
     return out
 
 
+_SPANNED = StructType.fromDDL("lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>").fields
+
+
 def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> DataFrame:
-    """docs' columns with lang_pred and score, and spans (start, end, lang) if asked for; docs has a column text."""
+    """docs (text, ...) with lang_pred and score, and spans (start, end, lang) if asked for; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, trained))
-    at = docs.columns.index("text")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +204,7 @@ def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> Dat
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
-                texts = some.column(at).to_pylist()
+                texts = some.column(1).to_pylist()
                 split = [words(t) for t in texts]
                 pred, score, runs = [], [], []
                 rows = model.indices(split) if model.languages else [None] * len(split)
@@ -212,13 +215,16 @@ def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> Dat
                     labels = model.path(model.scores[r])
                     letters = np.bincount(labels, weights=np.fromiter(map(len, w), np.int64, len(w)), minlength=len(model.languages))
                     pred.append(model.languages[int(letters.argmax())]), score.append(float(letters.max() / letters.sum()))
-                    if with_spans:
-                        runs.append([dict(zip(("start", "end", "lang"), x, strict=True)) for x in spans(text, model, labels)])
-                added = [pa.array(pred, pa.string()), pa.array(score, pa.float64())] + [pa.array(runs, span)] * with_spans
-                yield pa.RecordBatch.from_arrays([*some.columns, *added], [*some.schema.names, "lang_pred", "score", "spans"][: len(some.columns) + len(added)])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * with_spans)
+                    runs.append([dict(zip(("start", "end", "lang"), x, strict=True)) for x in spans(text, model, labels)] if with_spans else [])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(runs, span)], ["row", "lang_pred", "score", "spans"])
+
+    new = ["lang_pred", "score"] + ["spans"] * with_spans
+    others = [c for c in docs.columns if c not in new]
+    # The row is kept in one column, so that its own columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
+    schema = StructType([rows.schema["row"], *_SPANNED])
+    found = rows.mapInArrow(run, schema)
+    return found.select(*[F.col("row")[c].alias(c) for c in others], *new)
 
 
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

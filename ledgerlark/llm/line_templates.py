@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from ._common import hot_lookup, read_table, stored
 
 MIN_DOCS = 5
-LEADING = 2
+LEADING = 3
 FIXED_SHARE = 0.7
 FIXED_TOKENS = 4
 COPY_SHARE = 0.5
+#: Bits of the bitmap of populous leaves, a power of two: at most BITMAP_BITS / 64 rows are broadcast.
+BITMAP_BITS = 1 << 22
 
 
 def _masked(line: Column) -> Column:
@@ -39,24 +41,44 @@ def _leaf(masked: Column) -> Column:
     return F.concat_ws(" ", tokens.cast("string"), lead)
 
 
-def recurring_lines(lines: DataFrame) -> DataFrame:
-    """key, template and lines: the masked lines of recurring templates, and how many rows of ``lines`` (key, masked, doc) have them."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, doc (the text's hash), at, masked, size, key and leaf of each line that isn't blank."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("doc_id", "doc", "at", _masked(F.col("line")).alias("masked"), F.length("line").alias("size")).filter("masked <> ''")
+    return lines.withColumns({"key": F.xxhash64("masked"), "leaf": F.xxhash64(_leaf(F.col("masked")))})
+
+
+def _bits(values: Column) -> tuple[Column, Column]:
+    """Cell and bit of a hash in a bitmap of BITMAP_BITS bits."""
+    place = values.bitwiseAND(F.lit(BITMAP_BITS - 1))
+    return F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+
+
+def recurring_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, template and lines: the masked lines of recurring templates, and how many rows of ``lines`` have them.
+
+    lines (key, leaf, doc) has no text. texts (key, leaf, masked) are the same lines with it, of which only those in leaves
+    that enough texts reach are shuffled: a bitmap of these leaves, of a fixed size, keeps the others out.
+    """
     total = lines.count()
-    pairs = stored(lines.groupBy("key", "doc").agg(F.count(F.lit(1)).alias("n"), F.first("masked").alias("masked")), "line-pairs")
-    distinct = pairs.groupBy("key").agg(F.first("masked").alias("masked"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("lines"))
-    distinct = stored(distinct.withColumn("leaf", _leaf(F.col("masked"))), "line-distinct")
-    # Only lines of leaves that enough lines reach can have a template of their own kind.
+    pairs = stored(lines.groupBy("key", "doc").agg(F.count(F.lit(1)).alias("n"), F.first("leaf").alias("leaf")), "line-pairs")
+    distinct = stored(pairs.groupBy("key").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("lines")), "line-distinct")
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("members")).filter(F.col("docs") >= MIN_DOCS)
     leaves = stored(leaves.select("leaf", "members", F.lit(1).alias("_is")), "line-leaves")
-    members = hot_lookup(distinct.select("key", "masked", "docs", "leaf"), leaves, "leaf", "members", total).filter("_is = 1")
-    members = stored(members.select("key", "masked", "docs", "leaf"), "line-members")
+    members = hot_lookup(distinct.select("key", "docs", "leaf"), leaves, "leaf", "members", total).filter("_is = 1")
+    members = stored(members.select("key", "docs", "leaf"), "line-members")
+    cell, bit = _bits(F.col("leaf"))
+    bitmap = stored(leaves.select(cell.alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")), "line-bitmap")
+    likely = texts.withColumns({"_cell": cell, "_bit": bit}).join(F.broadcast(bitmap), "_cell").filter(F.expr("shiftright(_bits, _bit) & 1 = 1"))
+    likely = likely.groupBy("key").agg(F.first("masked").alias("masked"))
+    members = stored(members.join(likely, "key"), "line-member-texts")
     tokens = members.select("key", "docs", "leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     tokens = stored(tokens.withColumn("cell", F.xxhash64("leaf", "at", "token")), "line-tokens")
     cells = tokens.groupBy("cell").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("rows"))
     fixed = stored(cells.filter(F.col("docs") >= MIN_DOCS).select("cell", "rows", F.lit(1).alias("_fixed")), "line-cells")
-    known = hot_lookup(tokens.select("key", "leaf", "at", "token", "cell"), fixed, "cell", "rows", tokens.count())
+    known = hot_lookup(tokens.select("key", "at", "token", "cell"), fixed, "cell", "rows", tokens.count())
     stays = F.col("_fixed").isNotNull() & ~F.contains("token", F.lit("0"))
-    parts = known.groupBy("key", "leaf").agg(
+    parts = known.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(stays, F.col("token")).otherwise("<*>").alias("token")))).alias("parts"),
         F.count_if(stays).alias("fixed"),
         F.count(F.lit(1)).alias("all"),
@@ -64,36 +86,36 @@ def recurring_lines(lines: DataFrame) -> DataFrame:
     templates = parts.select("key", F.array_join(F.transform("parts", lambda p: p["token"]), " ").alias("template"), "fixed", "all")
     general = (F.col("fixed") >= FIXED_TOKENS) & (F.col("fixed") >= FIXED_SHARE * F.col("all")) | (F.col("fixed") == F.col("all"))
     templates = stored(templates.filter(general).join(distinct.select("key", "lines", "docs"), "key"), "line-templates")
-    by_doc = hot_lookup(pairs.select("key", "doc"), templates.select("key", "docs", "template"), "key", "docs", total)
+    by_doc = hot_lookup(pairs.select("key", "doc"), templates.select("key", "docs", F.xxhash64("template").alias("template")), "key", "docs", total)
     by_doc = by_doc.filter("template IS NOT NULL").groupBy("template", "doc").agg(F.lit(1).alias("one"))
-    often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.lit(1).alias("_is")).filter(F.col("docs") >= MIN_DOCS)
+    often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= MIN_DOCS)
     # A line that often recurs as it is needs no template.
-    same = distinct.filter(F.col("docs") >= MIN_DOCS).select("key", F.col("masked").alias("template"), "lines")
-    rest = templates.join(stored(often.select("template"), "line-often"), "template", "left_semi").select("key", "template", "lines")
+    same = distinct.filter(F.col("docs") >= MIN_DOCS).select("key", F.lit(None).cast("string").alias("template"), "lines")
+    rest = templates.join(stored(often.select(F.col("template").alias("_t")), "line-often"), F.xxhash64("template") == F.col("_t"), "left_semi").select("key", "template", "lines")
     return same.unionByName(rest.join(same.select("key"), "key", "left_anti"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with the remaining text, n_lines and n_dropped; other columns as they are."""
-    row = F.xxhash64("doc_id", "text")
-    lines = docs.select(row.alias("row"), F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("row", "doc", "at", _masked(F.col("line")).alias("masked"), F.length("line").alias("size")).filter("masked <> ''")
-    lines = stored(lines.withColumn("key", F.xxhash64("masked")), "lines")
-    found = stored(recurring_lines(lines.select("key", "masked", "doc")).select("key", "lines", F.lit(1).alias("_is")), "line-recurring")
-    hit = hot_lookup(lines.select("row", "at", "size", "key"), found, "key", "lines", lines.count()).filter("_is = 1")
-    per_doc = hit.groupBy("row").agg(F.collect_set("at").alias("_at"), F.sum("size").alias("_size"))
-    # Repeated rows share a row key, so their lines were counted once for each of them.
-    copies = docs.groupBy(row.alias("row")).agg(F.count(F.lit(1)).alias("_copies"))
-    per_doc = per_doc.join(copies, "row").select("row", "_at", (F.col("_size") / F.col("_copies")).alias("_size"))
+    """docs (doc_id, text, ...) with the remaining text, n_lines and n_dropped; columns of other names as they are."""
+    texts = _lines(docs)
+    lines = stored(texts.drop("masked"), "lines")
+    found = stored(recurring_lines(lines.select("key", "leaf", "doc"), texts.select("key", "leaf", "masked")).select("key", "lines", F.lit(1).alias("_is")), "line-recurring")
+    hit = hot_lookup(lines.select("doc_id", "doc", "at", "size", "key"), found, "key", "lines", lines.count()).filter("_is = 1")
+    # Repeated rows have one place in the result, so a place counts once.
+    per_doc = hit.groupBy("doc_id", "doc", "at").agg(F.first("size").alias("size")).groupBy("doc_id", "doc").agg(F.collect_list("at").alias("_at"), F.sum("size").alias("_size"))
+    per_doc = stored(per_doc.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "_at", "_size"), "line-hits")
     whole = F.length(F.replace("text", F.lit("\n")))
-    boiled = docs.withColumn("row", row).join(per_doc, "row", "left")
-    drop = F.when(F.col("_size") <= COPY_SHARE * whole, F.col("_at"))
+    # The row is kept in one column, so that its own columns may have any names.
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    boiled = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_doc")), "left")
+    boiled = boiled.withColumn("_drop", F.when(F.col("_size") <= COPY_SHARE * whole, F.col("_at")))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("_drop", i))
-    columns = [F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return boiled.withColumn("_drop", drop).select(
-        *columns, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")
-    )
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    new = {"text": text, "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}
+    same = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
+    out = boiled.select(*same, *[v.alias(c) for c, v in new.items()])
+    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +128,7 @@ WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, gen
 m AS (SELECT doc_id, text, pos, line, regexp_replace(trim(line, ' '), '[0-9]+', '0', 'g') AS masked FROM l),
 d AS (SELECT masked, count(DISTINCT text) AS docs,
         concat_ws(' ', CAST(length(masked) - length(replace(masked, ' ', '')) + 1 AS VARCHAR),
-          regexp_replace(array_to_string(string_split(masked, ' ')[1:2], ' '), '[^ ]*0[^ ]*', '<*>', 'g')) AS leaf
+          regexp_replace(array_to_string(string_split(masked, ' ')[1:3], ' '), '[^ ]*0[^ ]*', '<*>', 'g')) AS leaf
       FROM m WHERE masked <> '' GROUP BY masked),
 f AS (SELECT leaf FROM d GROUP BY leaf HAVING sum(docs) >= 5),
 t AS (SELECT d.masked, d.docs, d.leaf, unnest(string_split(d.masked, ' ')) AS token, generate_subscripts(string_split(d.masked, ' '), 1) AS pos

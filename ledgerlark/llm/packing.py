@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import ranked, read_table, stored
 from ._tokens import encoder
@@ -98,7 +99,7 @@ def harmonic_pack(rows: DataFrame, length: str, by: list[str], capacity: int = C
     full = full.withColumn("offset", F.coalesce(F.sum(length).over(within), F.lit(0)).cast("long"))
     names = [*rows.columns, "sequence_id", "offset"]
     taken = counts.agg(F.coalesce(F.sum("_bins"), F.lit(0)).cast("long").alias("_taken"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
 
     def share(group: pa.Table) -> pa.Table:
         sequence, offset = _best_fit(group.column(length).to_numpy(), capacity)
