@@ -191,9 +191,6 @@ def spans(text: str | None, model: Model, labels: np.ndarray) -> list[tuple[int,
     return out
 
 
-_SPANNED = StructType.fromDDL("lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>").fields
-
-
 def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> DataFrame:
     """docs (text, ...) with lang_pred and score, and spans (start, end, lang) if asked for; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, trained))
@@ -222,7 +219,8 @@ def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> Dat
     others = [c for c in docs.columns if c not in new]
     # The row is kept in one column, so that its own columns may have any names.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
-    schema = StructType([rows.schema["row"], *_SPANNED])
+    added = StructType.fromDDL("lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    schema = StructType([rows.schema["row"], *added.fields])
     found = rows.mapInArrow(run, schema)
     return found.select(*[F.col("row")[c].alias(c) for c in others], *new)
 
