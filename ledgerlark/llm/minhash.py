@@ -38,6 +38,8 @@ BITS = 4
 THRESHOLD = 75  # hundredths
 #: Estimates so far below the threshold (over five standard deviations of 128 minima) need no confirmation.
 SLACK = 0.2
+#: A bucket of no more rows than this may have its pairs made.
+SMALL_BUCKET = 64
 #: Rows of a bucket, and their shingles, that are compared in one task at most.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 2_000_000
@@ -240,12 +242,25 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     parts = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
     parts = parts.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_SHINGLES)))
     split = parts.groupBy("band", "key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("blocks").alias("blocks"), (F.sum("blocks") - F.max_by("blocks", F.struct("n", "component"))).alias("stray_blocks"), F.count(F.lit(1)).alias("parts")
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("blocks").alias("blocks"), (F.sum("blocks") - F.max_by("blocks", F.struct("n", "component"))).alias("stray_blocks"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members")
     )
     split = stored(split.filter("parts > 1").drop("parts"), "minhash-split")
-    mixed = labelled.join(split, ["band", "key"]).join(codes.drop("n_shingles"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    # In a small bucket pairs are few, and only those with a high estimate need sets; in a large one pairs aren't made.
+    few = labelled.join(split.filter(F.col("members") <= SMALL_BUCKET).select("band", "key", "main"), ["band", "key"])
+    few = stored(few.join(codes.drop("n_shingles"), "rep").select("band", "key", "rep", "component", "main", "signature", "bands"), "minhash-few")
+    stray = few.filter("component <> main").select("band", "key", *[F.col(c).alias(f"_{c}") for c in ("rep", "component", "signature", "bands")])
+    earlier = F.exists(F.slice(F.zip_with("bands", "_bands", lambda x, y: x == y), F.lit(1), F.col("band")), lambda same: same)
+    pairs = stray.join(few, ["band", "key"]).filter(
+        (F.col("component") != F.col("_component"))
+        & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("_rep")))
+        & (similarity(F.col("signature"), F.col("_signature")) >= floor)
+        & ~earlier
+    )
+    pairs = confirmed(pairs.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct(), sets, threshold)
+    large = split.filter(F.col("members") > SMALL_BUCKET).drop("members")
+    mixed = labelled.join(large, ["band", "key"]).join(codes.drop("n_shingles"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     mixed = stored(mixed.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")), "stray_block": F.pmod(F.xxhash64("rep"), F.col("stray_blocks"))}), "minhash-mixed")
-    more = stored(linked_blocks(mixed, floor, threshold).distinct(), "minhash-more")
+    more = stored(linked_blocks(mixed, floor, threshold).unionByName(pairs).distinct(), "minhash-more")
     if not more.isEmpty():
         first = stored(components(links.unionByName(more), "minhash-all"), "minhash-second")
 
