@@ -240,10 +240,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     labelled = members.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").join(codes.select("rep", "n_shingles"), "rep")
     labelled = stored(labelled.select("band", "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "minhash-labelled")
     parts = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
-    parts = parts.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_SHINGLES)))
-    split = parts.groupBy("band", "key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("blocks").alias("blocks"), (F.sum("blocks") - F.max_by("blocks", F.struct("n", "component"))).alias("stray_blocks"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members")
-    )
+    largest = F.max_by(F.struct("component", "n", "size"), F.struct("n", "component"))
+    split = parts.groupBy("band", "key").agg(largest.alias("_main"), F.sum("n").alias("members"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("parts"))
+
+    def blocks(rows, size):
+        return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES), F.lit(1).cast("long"))
+
+    split = split.withColumns({"main": F.col("_main.component"), "blocks": blocks(F.col("members"), F.col("_size")), "stray_blocks": blocks(F.col("members") - F.col("_main.n"), F.col("_size") - F.col("_main.size"))})
+    split = split.drop("_main", "_size")
     split = stored(split.filter("parts > 1").drop("parts"), "minhash-split")
     # In a small bucket pairs are few, and only those with a high estimate need sets; in a large one pairs aren't made.
     few = labelled.join(split.filter(F.col("members") <= SMALL_BUCKET).select("band", "key", "main"), ["band", "key"])
