@@ -101,28 +101,54 @@ class Model:
             self.known.update((w, base + i) for i, w in enumerate(new))
         return [np.fromiter(map(self.known.__getitem__, t), np.int64, len(t)) for t in texts]
 
-    def path(self, s: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-        """The language of each word on the best path; s: a row of scores for each word."""
-        best = int(s.sum(axis=0, dtype=np.float64).argmax())
-        gain = np.concatenate([[0], np.cumsum((s - s[:, best : best + 1]).max(axis=1), dtype=np.float64)])
-        if (gain - np.minimum.accumulate(gain)).max() <= penalty:
-            return np.full(len(s), best, np.int64)
-        return viterbi(s, penalty)
-
-
-def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
-    n, k = s.shape
-    back = np.empty((n, k), np.int64)
-    value, own = s[0].astype(np.float64), np.arange(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        switch = value < value[top] - penalty
-        back[t] = np.where(switch, top, own)
-        value = np.where(switch, value[top] - penalty, value) + s[t]
-    out = np.empty(n, np.int64)
-    out[-1] = value.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+    def paths(self, rows: list[np.ndarray], penalty: float = SWITCH) -> list[np.ndarray]:
+        """For each text (rows of ``scores`` for its words, at least one) the language of each word on the best path."""
+        out: list[np.ndarray] = []
+        search = []
+        for r in rows:
+            s = self.scores[r]
+            best = int(s.sum(axis=0, dtype=np.float64).argmax())
+            gain = np.concatenate([[0], np.cumsum((s - s[:, best : best + 1]).max(axis=1), dtype=np.float64)])
+            if (gain - np.minimum.accumulate(gain)).max() > penalty:
+                search.append(len(out))
+            out.append(np.full(len(s), best, np.int64))
+        for i, path in zip(search, viterbi([self.scores[rows[i]] for i in search], penalty), strict=True):
+            out[i] = path
+        return out
+
+
+def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """The best path through each text's scores (words by languages). A step takes the next word of all texts that have one."""
+    if not texts:
+        return []
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    lengths = np.array([len(texts[i]) for i in order])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    s = np.concatenate([texts[i] for i in order])
+    active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # texts with a word at each step
+    own = np.arange(s.shape[1], dtype=np.int8)
+    back = np.empty(s.shape, np.int8)
+    value = s[starts].astype(np.float64)
+    for t in range(1, lengths[0]):
+        n = active[t]
+        v, at = value[:n], starts[:n] + t
+        top = v.argmax(axis=1)
+        floor = v[np.arange(n), top] - penalty
+        switch = v < floor[:, None]
+        back[at] = np.where(switch, top[:, None].astype(np.int8), own)
+        np.maximum(v, floor[:, None], out=v)
+        v += s[at]
+    labels = np.empty(len(s), np.int64)
+    now = value.argmax(axis=1)
+    for t in range(lengths[0] - 1, -1, -1):
+        n = active[t]
+        at = starts[:n] + t
+        labels[at] = now[:n]
+        if t:
+            now[:n] = back[at, now[:n]]
+    out: list[np.ndarray] = [labels[:0]] * len(texts)
+    for i, a, n in zip(order, starts, lengths, strict=True):
+        out[i] = labels[a : a + n]
     return out
 
 
@@ -205,11 +231,12 @@ def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> Dat
                 split = [words(t) for t in texts]
                 pred, score, runs = [], [], []
                 rows = model.indices(split) if model.languages else [None] * len(split)
+                found = iter(model.paths([r for r in rows if r is not None and len(r)]))
                 for text, w, r in zip(texts, split, rows, strict=True):
                     if not w or r is None:
                         pred.append(UNKNOWN), score.append(0.0), runs.append([])
                         continue
-                    labels = model.path(model.scores[r])
+                    labels = next(found)
                     letters = np.bincount(labels, weights=np.fromiter(map(len, w), np.int64, len(w)), minlength=len(model.languages))
                     pred.append(model.languages[int(letters.argmax())]), score.append(float(letters.max() / letters.sum()))
                     runs.append([dict(zip(("start", "end", "lang"), x, strict=True)) for x in spans(text, model, labels)] if with_spans else [])
