@@ -140,7 +140,7 @@ def read_archives(spark: SparkSession, path: str, boundary: str) -> DataFrame:
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
-    boundary = write_archives(read_table(spark, sf_dir, "pages"), path, "2024-01-01T00:00:00Z")
+    boundary = write_archives(read_table(spark, sf_dir, "pages"), path, "2024-01-01T00:00:00Z", codec="gzip")
     return read_archives(spark, path, boundary).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
