@@ -71,7 +71,7 @@ class Model:
             kinds[len(g)] += 1
         rows = [np.log(c + 0.5) - np.log(totals[len(g)] + 0.5 * (kinds[len(g)] + 1)) for g, c in grams.items()]
         unseen = [np.log(0.5) - np.log(totals[k] + 0.5 * (kinds[k] + 1)) for k in (1, 2, 3)]
-        self.table = (np.array([*rows, *unseen]).reshape(-1, n) / 3).astype(np.float32)
+        self.table = (np.array([*rows, *unseen]).reshape(len(rows) + 3, n) / 3).astype(np.float32)
         self.row = {g: i for i, g in enumerate(grams)}
         self.unseen = {k: len(grams) + k - 1 for k in (1, 2, 3)}
         self.known: dict[str, int] = {}

@@ -37,7 +37,8 @@ def _masked(line: Column) -> Column:
 
 def _leaf(masked: Column) -> Column:
     tokens = F.length(masked) - F.length(F.replace(masked, F.lit(" "))) + 1
-    lead = F.regexp_replace(F.substring_index(masked, " ", LEADING), "[^ ]*0[^ ]*", "<*>")
+    # Tried at the starts of tokens only, so that a long token costs no more than its length.
+    lead = F.regexp_replace(F.substring_index(masked, " ", LEADING), "(?<![^ ])[^ ]*?0[^ ]*", "<*>")
     return F.concat_ws(" ", tokens.cast("string"), lead)
 
 
