@@ -24,7 +24,7 @@ class PieceEncoder:
     drops white space; otherwise a space belongs to the piece after it.
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 1_500_000):
+    def __init__(self, path: str, drops_space: bool, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

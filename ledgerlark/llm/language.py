@@ -32,6 +32,8 @@ from ._common import read_table
 PER_LANGUAGE = 1000
 SWITCH = 20.0
 UNKNOWN = "und"
+#: Words whose scores a worker keeps.
+KNOWN_WORDS = 250_000
 
 #: First code point and script of Unicode's letter ranges; 0 is any other script.
 SCRIPT_RANGES = [
@@ -79,7 +81,7 @@ class Model:
 
     def indices(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Rows of ``scores`` for each text's words; the table of known words is bounded."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known = {}
         new = list({w for t in texts for w in t if w not in self.known})
         if new:
