@@ -113,10 +113,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("_drop", i))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    new = {"text": text, "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}
-    same = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
-    out = boiled.select(*same, *[v.alias(c) for c, v in new.items()])
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    new = F.struct(text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    out = boiled.select("_row", new.alias("_new"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*[F.col("_new" if c == "text" else "_row")[c].alias(c) for c in columns], F.col("_new")["n_lines"].alias("n_lines"), F.col("_new")["n_dropped"].alias("n_dropped"))
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 from ledgerlark.llm import line_templates
 
-SCHEMA = "doc_id long, text string, _at int, n_lines string, doc string"
+SCHEMA = "doc_id long, text string, _at int, n_lines string, doc string, _drop string, _row string"
 
 
 def run(spark, rows):
-    df = line_templates.dedup_lines(spark.createDataFrame([(*r, 7, "n", "d") for r in rows], SCHEMA))
-    assert df.columns == ["doc_id", "text", "_at", "doc", "n_lines", "n_dropped"]
+    df = line_templates.dedup_lines(spark.createDataFrame([(*r, 7, "n", "d", "x", "y") for r in rows], SCHEMA))
+    assert df.columns == ["doc_id", "text", "_at", "doc", "_drop", "_row", "n_lines", "n_dropped"]
     return {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in df.collect()}
 
 
