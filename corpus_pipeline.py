@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; n_chars follows the text."""
-    found = line_templates.dedup_lines(docs)
+    """Documents without the lines of recurring templates, and none of which nothing else is left; n_chars follows the text."""
+    found = line_templates.dedup_lines(docs, by_groups=True).filter("n_dropped = 0 OR text RLIKE '[^ \\\\s]'")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

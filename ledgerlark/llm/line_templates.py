@@ -8,6 +8,10 @@ of recurring templates are dropped. A document that is recurring lines for the m
 a copy of other documents rather than one with boilerplate in it: near-duplicate removal decides about such
 documents as a whole, and their lines stay.
 
+With ``by_groups`` (the pipeline's way; the registered query keeps the rule of its SQL) a share decides nothing. Texts that are recurring
+lines for the most part are compared, and a line counts once for each group of near duplicates: lines that only copies share stay, for
+near-duplicate removal to decide about, and lines of recurring templates are dropped from any document, be they all of it.
+
 All counts are of distinct texts, so exact copies count once. Lines move as hashes with their numbers; distinct masked lines stand
 for all their occurrences, so a line that a third of the documents have is one row in the tree.
 
@@ -20,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import hot_lookup, read_table, stored
+from . import minhash
+from ._common import hot_lookup, ranked, read_table, stored
 
 MIN_DOCS = 5
 LEADING = 3
@@ -61,8 +66,16 @@ def recurring_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     lines (key, leaf, doc) has no text. texts (key, leaf, masked) are the same lines with it, of which only those in leaves
     that enough texts reach are shuffled: a bitmap of these leaves, of a fixed size, keeps the others out.
     """
-    total = lines.count()
-    pairs = stored(lines.groupBy("key", "doc").agg(F.count(F.lit(1)).alias("n"), F.first("leaf").alias("leaf")), "line-pairs")
+    return recurring_pairs(line_pairs(lines), texts, lines.count())
+
+
+def line_pairs(lines: DataFrame) -> DataFrame:
+    """key, doc, n and leaf: the distinct masked lines of each text and how many rows of ``lines`` they are."""
+    return stored(lines.groupBy("key", "doc").agg(F.count(F.lit(1)).alias("n"), F.first("leaf").alias("leaf")), "line-pairs")
+
+
+def recurring_pairs(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """As recurring_lines, of pairs whose n add up to ``total``; doc is a text or a group of texts."""
     distinct = stored(pairs.groupBy("key").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("lines")), "line-distinct")
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("members")).filter(F.col("docs") >= MIN_DOCS)
     leaves = stored(leaves.select("leaf", "members", F.lit(1).alias("_is")), "line-leaves")
@@ -96,20 +109,47 @@ def recurring_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return same.unionByName(rest.join(same.select("key"), "key", "left_anti"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def copy_groups(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """doc and group: the near-duplicate group of each text (hash) in ``suspects`` that has another member."""
+    # Small numbers in place of hashes, as the components' ids are summed.
+    names = stored(ranked(suspects.withColumn("_all", F.lit(0)), ["_all"], ["doc"], "doc_id").select("doc", "doc_id"), "line-suspect-ids")
+    rows = docs.select(F.xxhash64("text").alias("doc"), "text").join(names, "doc").dropDuplicates(["doc"]).select("doc_id", "text")
+    found = minhash.near_duplicates(stored(rows, "line-suspect-texts")).select("doc_id", F.xxhash64("component_id").alias("group"))
+    found = stored(found.join(names, "doc_id"), "line-groups")
+    return found.join(found.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "group").select("doc", "group")
+
+
+def _per_doc(hit: DataFrame) -> DataFrame:
+    # Repeated rows have one place in the result, so a place counts once.
+    per_doc = hit.groupBy("doc_id", "doc", "at").agg(F.first("size").alias("size")).groupBy("doc_id", "doc").agg(F.collect_list("at").alias("_at"), F.sum("size").alias("_size"))
+    return per_doc.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "_at", "_size")
+
+
+def dedup_lines(docs: DataFrame, by_groups: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with the remaining text, n_lines and n_dropped; columns of other names as they are."""
     texts = _lines(docs)
     lines = stored(texts.drop("masked"), "lines")
-    found = stored(recurring_lines(lines.select("key", "leaf", "doc"), texts.select("key", "leaf", "masked")).select("key", "lines", F.lit(1).alias("_is")), "line-recurring")
-    hit = hot_lookup(lines.select("doc_id", "doc", "at", "size", "key"), found, "key", "lines", lines.count()).filter("_is = 1")
-    # Repeated rows have one place in the result, so a place counts once.
-    per_doc = hit.groupBy("doc_id", "doc", "at").agg(F.first("size").alias("size")).groupBy("doc_id", "doc").agg(F.collect_list("at").alias("_at"), F.sum("size").alias("_size"))
-    per_doc = stored(per_doc.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "_at", "_size"), "line-hits")
+    total, pairs, masked = lines.count(), line_pairs(lines.select("key", "leaf", "doc")), texts.select("key", "leaf", "masked")
+
+    def hits(pairs: DataFrame) -> DataFrame:
+        found = stored(recurring_pairs(pairs, masked, total).select("key", "lines", F.lit(1).alias("_is")), "line-recurring")
+        return hot_lookup(lines.select("doc_id", "doc", "at", "size", "key"), found, "key", "lines", total).filter("_is = 1")
+
+    per_doc = stored(_per_doc(hits(pairs)), "line-hits")
+    if by_groups:
+        # Of a text, not of its rows: a text that many rows have is one suspect.
+        sizes = lines.groupBy("doc_id", "doc", "at").agg(F.first("size").alias("size")).groupBy("doc_id", "doc").agg(F.sum("size").alias("_whole"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("doc") == F.col("_doc"))
+        suspects = stored(sizes.join(per_doc, same).filter(F.col("_size") > COPY_SHARE * F.col("_whole")).select("doc").distinct(), "line-suspects")
+        groups = stored(copy_groups(docs, suspects), "line-copies")
+        grouped = pairs.join(groups, "doc", "left").withColumn("doc", F.coalesce("group", "doc"))
+        grouped = grouped.groupBy("key", "doc").agg(F.sum("n").alias("n"), F.first("leaf").alias("leaf"))
+        per_doc = stored(_per_doc(hits(stored(grouped, "line-group-pairs"))), "line-group-hits")
     whole = F.length(F.replace("text", F.lit("\n")))
     # The row is kept in one column, so that its own columns may have any names.
     rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     boiled = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_doc")), "left")
-    boiled = boiled.withColumn("_drop", F.when(F.col("_size") <= COPY_SHARE * whole, F.col("_at")))
+    boiled = boiled.withColumn("_drop", F.when(F.lit(by_groups) | (F.col("_size") <= COPY_SHARE * whole), F.col("_at")))
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("_drop", i))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -40,3 +40,19 @@ def test_edge_cases(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def grouped(spark, rows):
+    return {r.doc_id: (r.text, r.n_dropped) for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), by_groups=True).collect()}
+
+
+def test_short_documents_lose_a_long_shared_notice(spark):
+    notice = "This page is shown to you under the terms that all readers of this site have agreed to at some time before"
+    rows = [(i, f"{notice}\nentry {prose(i)[:40]}") for i in range(8)] + [(50, notice)]
+    got = grouped(spark, rows)
+    assert all(got[i] == (rows[i][1].split("\n")[1], 1) for i in range(8)) and got[50] == ("", 1)
+
+
+def test_near_copies_keep_their_lines_by_groups(spark):
+    rows = [(i, prose(0)) for i in range(20)] + [(20 + i, prose(1) + f"\nlast {'x' * i}") for i in range(8)]
+    assert all(n == 0 for _, n in grouped(spark, rows).values())
