@@ -10,7 +10,8 @@ documents as a whole, and their lines stay.
 
 With ``by_groups`` (the pipeline's way; the registered query keeps the rule of its SQL) a share decides nothing. Texts that are recurring
 lines for the most part are compared, and a line counts once for each group of near duplicates: lines that only copies share stay, for
-near-duplicate removal to decide about, and lines of recurring templates are dropped from any document, be they all of it.
+near-duplicate removal to decide about, and lines of recurring templates are dropped from any document, be they all of it. A long line
+(LONG_WORDS or LONG_CHARS) that two such groups have as it is stays in the group with the smallest doc_id and goes from the others.
 
 All counts are of distinct texts, so exact copies count once. Lines move as hashes with their numbers; distinct masked lines stand
 for all their occurrences, so a line that a third of the documents have is one row in the tree.
@@ -32,6 +33,9 @@ LEADING = 3
 FIXED_SHARE = 0.7
 FIXED_TOKENS = 4
 COPY_SHARE = 0.5
+#: Lines of so many words, or characters where words aren't spaced, recur from two groups of texts on.
+LONG_WORDS = 25
+LONG_CHARS = 200
 #: Bits of the bitmap of populous leaves, a power of two: at most BITMAP_BITS / 64 rows are broadcast.
 BITMAP_BITS = 1 << 22
 
@@ -50,10 +54,16 @@ def _leaf(masked: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, doc (the text's hash), at, masked, size, key and leaf of each line that isn't blank."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("doc_id", "doc", "at", _masked(F.col("line")).alias("masked"), F.length("line").alias("size")).filter("masked <> ''")
+    lines = lines.select("doc_id", "doc", "at", _masked(F.col("line")).alias("masked"), F.length("line").alias("size"), F.trim("line").alias("line")).filter("masked <> ''")
     return lines.withColumns({"key": F.xxhash64("masked"), "leaf": F.xxhash64(_leaf(F.col("masked")))})
 
 
+def _exact(lines: DataFrame) -> DataFrame:
+    """lines with exact, a hash of the line with its digits where it is long, else null."""
+    long = (F.col("size") >= LONG_CHARS) | (F.size(F.split("masked", " +")) >= LONG_WORDS)
+    return lines.withColumn("exact", F.when(long, F.xxhash64("line")))
+
+
 def _bits(values: Column) -> tuple[Column, Column]:
     """Cell and bit of a hash in a bitmap of BITMAP_BITS bits."""
     place = values.bitwiseAND(F.lit(BITMAP_BITS - 1))
@@ -119,6 +129,26 @@ def copy_groups(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     return found.join(found.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "group").select("doc", "group")
 
 
+def shared_long_lines(places: DataFrame) -> DataFrame:
+    """exact, doc, n and first (the least of its rows' doc_ids, null ones last) of each text with a long line that another text has."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    pairs = stored(places.groupBy("exact", "doc").agg(F.count(F.lit(1)).alias("n"), first.alias("first")), "line-long")
+    often = pairs.groupBy("exact").agg(F.count(F.lit(1)).alias("docs"), F.lit(1).alias("_is")).filter("docs > 1")
+    return stored(hot_lookup(pairs, often, "exact", "docs", pairs.count()).filter("_is = 1").drop("_is"), "line-long-shared")
+
+
+def repeated_long_lines(places: DataFrame, shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``places`` whose line two groups have, but for those of the group that keeps it."""
+    grouped = shared.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
+    grouped = grouped.groupBy("exact", "group").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    owners = grouped.groupBy("exact").agg(F.min_by("group", F.struct("first", "group")).alias("owner"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    owners = stored(owners.filter("groups > 1").drop("groups"), "line-owners")
+    total = places.count()
+    met = stored(hot_lookup(places, owners, "exact", "n", total).filter("owner IS NOT NULL"), "line-long-places")
+    rows = met.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).join(groups, "doc")
+    return hot_lookup(met, rows, "doc", "n", met.count()).filter(F.coalesce("group", "doc") != F.col("owner")).select("doc_id", "doc", "at", "size")
+
+
 def _per_doc(hit: DataFrame) -> DataFrame:
     # Repeated rows have one place in the result, so a place counts once.
     per_doc = hit.groupBy("doc_id", "doc", "at").agg(F.first("size").alias("size")).groupBy("doc_id", "doc").agg(F.collect_list("at").alias("_at"), F.sum("size").alias("_size"))
@@ -128,7 +158,7 @@ def _per_doc(hit: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, by_groups: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with the remaining text, n_lines and n_dropped; columns of other names as they are."""
     texts = _lines(docs)
-    lines = stored(texts.drop("masked"), "lines")
+    lines = stored((_exact(texts) if by_groups else texts).drop("masked", "line"), "lines")
     total, pairs, masked = lines.count(), line_pairs(lines.select("key", "leaf", "doc")), texts.select("key", "leaf", "masked")
 
     def hits(pairs: DataFrame) -> DataFrame:
@@ -140,11 +170,15 @@ def dedup_lines(docs: DataFrame, by_groups: bool = False) -> DataFrame:
         # Of a text, not of its rows: a text that many rows have is one suspect.
         sizes = lines.groupBy("doc_id", "doc", "at").agg(F.first("size").alias("size")).groupBy("doc_id", "doc").agg(F.sum("size").alias("_whole"))
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("doc") == F.col("_doc"))
-        suspects = stored(sizes.join(per_doc, same).filter(F.col("_size") > COPY_SHARE * F.col("_whole")).select("doc").distinct(), "line-suspects")
+        suspects = sizes.join(per_doc, same).filter(F.col("_size") > COPY_SHARE * F.col("_whole")).select("doc")
+        long = lines.filter("exact IS NOT NULL").select("doc_id", "doc", "at", "size", "exact")
+        shared = shared_long_lines(long)
+        suspects = stored(suspects.union(shared.select("doc")).distinct(), "line-suspects")
         groups = stored(copy_groups(docs, suspects), "line-copies")
         grouped = pairs.join(groups, "doc", "left").withColumn("doc", F.coalesce("group", "doc"))
         grouped = grouped.groupBy("key", "doc").agg(F.sum("n").alias("n"), F.first("leaf").alias("leaf"))
-        per_doc = stored(_per_doc(hits(stored(grouped, "line-group-pairs"))), "line-group-hits")
+        hit = hits(stored(grouped, "line-group-pairs")).select("doc_id", "doc", "at", "size")
+        per_doc = stored(_per_doc(hit.union(repeated_long_lines(long, shared, groups))), "line-group-hits")
     whole = F.length(F.replace("text", F.lit("\n")))
     # The row is kept in one column, so that its own columns may have any names.
     rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))

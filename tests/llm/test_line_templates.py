@@ -56,3 +56,13 @@ def test_short_documents_lose_a_long_shared_notice(spark):
 def test_near_copies_keep_their_lines_by_groups(spark):
     rows = [(i, prose(0)) for i in range(20)] + [(20 + i, prose(1) + f"\nlast {'x' * i}") for i in range(8)]
     assert all(n == 0 for _, n in grouped(spark, rows).values())
+
+
+def test_long_lines_of_two_texts_stay_once(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    other = passage.replace("worda", "verba")
+    rows = [(i, f"{passage}\n{prose(i)}") for i in (4, 2, 3)] + [(None, f"{prose(9)}\n{passage}")]
+    rows += [(10, f"{other} x\n{prose(1)}\n{prose(5)}"), (11, f"{other} x\n{prose(1)}\n{prose(5)}"), (12, f"{other} x\n{prose(1)}\n{prose(5)} y")]
+    got = grouped(spark, rows)
+    assert got[2] == (rows[1][1], 0) and all(got[i] == (prose(i), 1) for i in (3, 4)) and got[None] == (prose(9), 1)
+    assert all(got[i][1] == 0 for i in (10, 11, 12))
