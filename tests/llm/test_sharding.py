@@ -32,6 +32,21 @@ def test_groups_stay_together(spark):
     assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows]
 
 
+def test_all_rows_linked(spark):
+    # Groups of 20, of mixed sizes, and with one larger than a shard.
+    for hubs in ([i // 20 for i in range(1200)], [int(i**0.5) for i in range(1100)], ["hot" if i < 400 else i // 4 for i in range(1200)]):
+        df = run(spark, [(i, f"g{h}") for i, h in enumerate(hubs)])
+        got = df.collect()
+        balanced(got, 6)
+        shards = {}
+        for r in got:
+            shards.setdefault(r["hub"], set()).add(r["shard"])
+        assert sum(len(v) > 1 for v in shards.values()) < 6
+        assert sorted(r["doc_id"] for r in got) == list(range(len(hubs)))
+    links, cut = sharding.cut_share(run(spark, [(i, f"g{i // 20}") for i in range(1200)]), "hub").first()
+    assert links == 60 * 190 and cut == 0
+
+
 def test_a_third_in_one_group(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"s{i}") for i in range(900)]
     got = run(spark, rows).collect()
