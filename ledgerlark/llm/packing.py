@@ -6,6 +6,8 @@ wastes is least where n is close to capacity / k, so documents are cut there: in
 capacity / 4, ... down to SMALLEST, and one rest below SMALLEST. Classes of rests waste less than SMALLEST tokens in a
 sequence, the others none; what is left of each class beyond its full sequences is packed together.
 
+Sequences of ids, padded with the end id, are written to the shared folder; what the query gives is derived from them.
+
 Defined results: a null text counts as empty and has the end id only; rows with equal or null doc_ids are packed one by one; an
 empty table gives no pieces.
 """
@@ -111,8 +113,36 @@ def harmonic_pack(rows: DataFrame, length: str, by: list[str], capacity: int = C
     return full.select(*names).unionByName(rest.select(*names))
 
 
-def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    return harmonic_pack(pieces(docs, tokenizer_path, end_id), "length", ["doc_id", "start", "ids_crc32"])
+def sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+    """sequence_id, ids (capacity of them, end_id where no piece is) and pieces (doc_id, start, length, doc_tokens) in their order; stored."""
+    rows = pieces(docs, tokenizer_path, end_id, capacity, keep_ids=True)
+    placed = harmonic_pack(rows, "length", ["doc_id", "start", "ids_crc32"], capacity)
+    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "doc_tokens", "ids")))
+    whole = placed.groupBy("sequence_id").agg(parts.alias("parts"))
+    ids = F.flatten(F.col("parts")["ids"])
+    padded = F.concat(ids, F.array_repeat(F.lit(end_id), F.lit(capacity) - F.size(ids)))
+    return stored(whole.select("sequence_id", padded.alias("ids"), F.transform("parts", lambda p: p.dropFields("offset", "ids")).alias("pieces")), "sequences")
+
+
+def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+    """A row for each piece, read back from the stored sequences: ids_crc32 and offset are of the ids that lie there."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, AT_ONCE):
+                rows, some = [], batch.slice(i, AT_ONCE)
+                for sequence_id, ids, own in zip(some.column(0).to_pylist(), some.column(1), some.column(2).to_pylist(), strict=True):
+                    ids, at = ids.values.to_numpy(zero_copy_only=False), 0
+                    for p in own:
+                        part = ids[at : at + p["length"]]
+                        rows.append((p["doc_id"], p["start"], p["length"], zlib.crc32(part.astype("<i4").tobytes()), p["doc_tokens"], sequence_id, at) + (part,) * keep_ids)
+                        at += p["length"]
+                kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * keep_ids
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names[: len(kinds)])
+
+    return sequences(docs, tokenizer_path, end_id).select("sequence_id", "ids", "pieces").mapInArrow(run, schema)
 
 
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,19 @@ def test_packing(spark):
         at += r.length
 
 
+def test_sequences_hold_the_ids(spark):
+    rows = [(i, TEXTS[i % len(TEXTS)], 0, "x") for i in range(30)] + [(None, None, 0, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stored = packing.sequences(docs, BYTES).collect()
+    assert all(len(r.ids) == 1024 and not any(r.ids[sum(p.length for p in r.pieces) :]) for r in stored)
+    of = {}
+    for r in packing.packed(docs, BYTES, keep_ids=True).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        of.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for i, t, _, _ in rows:
+        assert np.array([x for _, ids in sorted(of[i]) for x in ids], "<u4").tobytes() == ids_of(BYTES, t, 0)
+
+
 def test_pieces_with_ids(spark):
     df = packing.pieces(spark.createDataFrame([(1, "hello world", 0, "")], SCHEMA), BYTES, 0, keep_ids=True)
     assert np.array(df.first()["ids"], "<u4").tobytes() == ids_of(BYTES, "hello world", 0)
