@@ -5,7 +5,7 @@ doc_id and n_tokens in delta encoding, ids (list of int) in dictionary encoding;
 with its bounds in the page index. A reader that wants lengths or a few documents reads those columns and pages only.
 
 Defined results: a null text counts as empty, so its document has the end id only; rows with equal or null doc_ids keep
-a row each, nulls first; an empty table gives no rows; columns other than doc_id and text are left out.
+a row each, in the order of their texts' hashes, nulls first; an empty table gives no rows; columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -23,29 +23,34 @@ from ._tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-AT_ONCE = 256
+AT_ONCE = 1024
+#: Bytes of text in a file, about.
+FILE_BYTES = 64 << 20
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, ids of each document's whole text, with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(tokenizer_path, True), np.array([end_id], "<u4").tobytes()
+        own = encoder(tokenizer_path, True)
         for batch in batches:
             for i in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(i, AT_ONCE)
-                ids = [b + end for b in own.encode([t or "" for t in some.column(1).to_pylist()])]
-                counts = np.array([len(b) // 4 for b in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                found, begins = own.encode(some.column(1))
+                counts = np.diff(begins) + 1
+                ids = np.insert(found.astype(np.int32), begins[1:], end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts), lists], ["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select("doc_id", "text")
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES)
+    # Rows with one doc_id are told apart by their texts, so that many of them needn't be in one file.
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     options = {
         "compression": "zstd",
         "parquet.writer.version": "v2",

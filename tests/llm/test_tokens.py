@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerlark.llm import packing, token_files
 from ledgerlark.llm._common import fresh_path
-from ledgerlark.llm._tokens import PieceEncoder
+from ledgerlark.llm._tokens import ChunkEncoder
 
 SCHEMA = "doc_id long, text string, start long, ids string"
 TEXTS = ["it's  a\n\n\ttest $$—x é$ <|endoftext|> ÀB$ don't.  　x  \n", "", " ", "\n\n", "a\x1cb  c", "ΑΣ Σ. ΟΔΟΣ$ İI ß$$ ﬁ5% 12a$b'll", None, "word " * 3000, "the the the", "Eauouon. Étion’s"]
@@ -17,20 +18,24 @@ BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_b
 
 @pytest.mark.parametrize(("path", "drops"), [(BYTES, False), (WORDS, True)])
 def test_ids_are_the_library_s(path, drops):
-    e = PieceEncoder(path, drops, limit=50)
+    e = ChunkEncoder(path, drops, chunks=50, pieces=20)
+
+    def encoded(texts):
+        ids, at = e.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
     @settings(max_examples=150, deadline=None)
     @given(st.lists(st.text(alphabet=st.sampled_from("aZé'sß9²$&%., \t\n\r\x1c\x85\xa0 ́Σ中—<|>_"), max_size=40), max_size=4))
     def same(texts):
-        assert e.encode(texts) == e.library(texts)
+        assert encoded(texts) == e.library(texts)
 
     same()
     texts = [t or "" for t in TEXTS]
-    assert e.encode(texts) == e.library(texts)
+    assert encoded(texts) == e.library(texts)
 
 
 def ids_of(path, text, end):
-    return PieceEncoder(path, path == WORDS).library([text or ""])[0] + np.array([end], "<u4").tobytes()
+    return ChunkEncoder(path, path == WORDS).library([text or ""])[0] + np.array([end], "<u4").tobytes()
 
 
 def test_token_files(spark):
@@ -97,6 +102,21 @@ def test_sequences_hold_the_ids(spark):
         assert np.array([x for _, ids in sorted(of[i]) for x in ids], "<u4").tobytes() == ids_of(BYTES, t, 0)
 
 
-def test_pieces_with_ids(spark):
-    df = packing.pieces(spark.createDataFrame([(1, "hello world", 0, "")], SCHEMA), BYTES, 0, keep_ids=True)
-    assert np.array(df.first()["ids"], "<u4").tobytes() == ids_of(BYTES, "hello world", 0)
+def test_workers_leave_fewer_than_a_sequence_of_each_class(spark):
+    rows = [(i, TEXTS[7], 0, "x") for i in range(20)]
+    got = packing.filled(spark.createDataFrame(rows, SCHEMA).coalesce(1), BYTES, 0).collect()
+    left = [len(r.ids) for r in got if r.sequence_id is None]
+    assert all(len(r.ids) == 1024 for r in got if r.sequence_id is not None)
+    assert all(left.count(n) < 1024 // n for n in left) and all(len(r.pieces) == 1 for r in got if r.sequence_id is None)
+
+
+def test_long_texts(spark):
+    text = "Ab c, " * 70_000 + "é" * 100_000
+    docs = spark.createDataFrame([(1, text, 0, ""), (2, "x", 0, "")], SCHEMA)
+    own = sorted((r.start, r.length, r.ids_crc32) for r in packing.packed(docs, BYTES).collect() if r.doc_id == 1)
+    whole = ids_of(BYTES, text, 0)
+    assert [(a, n, zlib.crc32(whole[4 * a : 4 * (a + n)])) for a, n, _ in own] == own and sum(n for _, n, _ in own) == len(whole) // 4
+    path = fresh_path(spark, "tokens")
+    token_files.write_tokens(docs, path, WORDS, 2)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.checksums(token_files.read_tokens(spark, path)).collect()}
+    assert got == {i: (len(w) // 4, zlib.crc32(w)) for i, w in ((1, ids_of(WORDS, text, 2)), (2, ids_of(WORDS, "x", 2)))}
