@@ -3,8 +3,9 @@
 Each stage works on all that its predecessor kept. A stage returns the columns of documents, but for the last, which returns the
 packed pieces. Stages are written as Parquet to the shared folder and read again, so a lost executor costs no earlier stage.
 
-Defined results: rows with a null text, or none with a letter, are rejected by the first stage; repeated rows count as copies, of which one
-stays; rows with a null doc_id can't be told apart and go in stage 3; an empty table gives no pieces.
+Defined results: rows with a null text, without a letter, or mostly in scripts of no learned language are rejected by the first stage, which
+writes the language it finds where lang is null; repeated rows count as copies, of which one stays; rows with one doc_id and different texts, and
+rows with a null doc_id, are documents each, told apart by their texts; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import decontaminate, language, line_templates, minhash, packing
-from ledgerlark.llm._common import read_table, stored
+from ledgerlark.llm._common import read_table, stored, text_key
+
+#: Documents with a smaller share of their letters in scripts of learned languages are rejected.
+READABLE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
-    found = language.identified(docs, language.train(docs))
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    """Documents whose language can be told; lang is filled in where it is null."""
+    found = language.identified(docs, language.train(docs)).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("readable") >= READABLE))
+    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +34,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    first = minhash.near_duplicates(docs).filter("first").select(F.struct("doc_id", "text_key").alias("_id"))
+    rows = docs.withColumn("_id", F.struct("doc_id", text_key().alias("text_key")))
+    return rows.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no span of words with a benchmark item."""
     found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    clean = found.filter("NOT contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(clean, "doc_id", "left_semi").select(*docs.columns)
+    hit = found.filter("contaminated").select(F.col("text_key").alias("_key")).distinct()
+    return docs.withColumn("_key", text_key()).join(hit, "_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ class ChunkEncoder:
     which the cuts could differ from the library's go to it whole; very long chunks aren't kept.
     """
 
-    def __init__(self, path: str, drops_space: bool, chunks: int = 300_000, pieces: int = 300_000):
+    def __init__(self, path: str, drops_space: bool, chunks: int = 100_000, pieces: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import hot_lookup, read_table, stored, text_key
+from ._common import HOT_SHARE, hot_lookup, read_table, stored, text_key
 from ._words import grams, hashes, mixed
 
 SPAN = 10
@@ -141,7 +141,7 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs."""
+    """doc_id, text_key, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs."""
     items = stored(benchmark_seeds(benchmark), "winnow-items")
     short = sorted(-r[0] for r in items.select(F.explode("seeds.size").alias("s")).filter("s < 0").distinct().collect())
     seeds = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.*")
@@ -153,7 +153,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = texts.select("text_key", F.explode("seeds").alias("s")).select("text_key", "s.*")
     theirs = seeds.groupBy("print", "size", F.col("before").alias("_before"), F.col("core").alias("_core"), F.col("after").alias("_after"))
     theirs = stored(theirs.agg(F.collect_set("item_id").alias("items")), "winnow-prints")
-    met = own.join(theirs, ["print", "size"]).filter(F.col("core") == F.col("_core"))
+    # A fingerprint that many texts have is met in as many tasks as its rows need: there are at most HOT_SHARE such.
+    salts = own.groupBy("print", "size").agg(F.count(F.lit(1)).alias("_n"))
+    salts = stored(salts.filter(F.col("_n") > max(1, total // HOT_SHARE)).withColumn("_salts", F.expr(f"_n div {max(1, total // HOT_SHARE)} + 1")).drop("_n"), "winnow-salts")
+
+    def salted(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(salts), ["print", "size"], "left").withColumn("_salts", F.coalesce("_salts", F.lit(1).cast("long")))
+
+    own = salted(own).withColumn("_salt", F.pmod(F.xxhash64("text_key", "pos"), F.col("_salts"))).drop("_salts")
+    theirs = salted(theirs).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    met = own.join(theirs, ["print", "size", "_salt"]).filter(F.col("core") == F.col("_core"))
     left, right = _same(F.col("before"), F.col("_before")), _same(F.col("after"), F.col("_after"))
     spans = met.select("text_key", "items", (F.col("pos") - F.when(F.col("size") > 0, left).otherwise(0)).alias("lo"), (F.col("pos") + F.abs("size") + F.when(F.col("size") > 0, right).otherwise(0)).alias("hi"), "size")
     spans = spans.filter((F.col("size") < 0) | (F.col("hi") - F.col("lo") >= SPAN))
@@ -169,12 +178,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items_of = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 ORACLE_SQL = r"""

@@ -1,7 +1,7 @@
 """Language identification of mixed texts: script ranges, per-word scores and a Viterbi path with a switching penalty.
 
-The model is naive Bayes over the character n-grams (1 to 3, with word ends) of labelled documents: up to PER_LANGUAGE documents of each
-language, those with the least hash of their id. A word's script narrows its candidates to the languages that
+The model is naive Bayes over the character n-grams (1 to 3, with word ends) of labelled documents: about PER_LANGUAGE documents of each
+language, all if there are fewer, drawn by a hash. A word's script narrows its candidates to the languages that
 write in it; each word is scored once in a worker. The best path through a text's words pays SWITCH for every change of
 language; its runs are the spans. A text's language is that of most of its letters, and the score their share.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,6 +34,8 @@ SWITCH = 20.0
 UNKNOWN = "und"
 #: Words whose scores a worker keeps.
 KNOWN_WORDS = 250_000
+#: Longer chunks aren't kept.
+LONGEST = 64
 
 #: First code point and script of Unicode's letter ranges; 0 is any other script.
 SCRIPT_RANGES = [
@@ -77,31 +79,51 @@ class Model:
         self.row = {g: i for i, g in enumerate(grams)}
         self.unseen = {k: len(grams) + k - 1 for k in (1, 2, 3)}
         self.known: dict[str, int] = {}
+        self.chunks: dict[str, bytes] = {}
         self.scores = np.zeros((0, n), np.float32)
-
-    def indices(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Rows of ``scores`` for each text's words; the table of known words is bounded."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        new = list({w for t in texts for w in t if w not in self.known})
-        if new:
-            flat, starts = [], []
-            for w in new:
-                starts.append(len(flat))
-                flat += [self.row.get(g, self.unseen[len(g)]) for g in _grams(w)]
-            scores = np.add.reduceat(self.table[np.array(flat)], np.array(starts), axis=0)
-            for i, w in enumerate(new):
-                mask = self.scripts.get(script(w[0]))
-                if mask is not None and any(mask) and not all(mask):
-                    scores[i, ~np.array(mask)] = scores[i].min() - 1e4
-                elif mask is None or not any(mask):
-                    scores[i] = 0
-            base = len(self.known)
-            if len(self.scores) < base + len(new):
-                self.scores = np.concatenate([self.scores[:base], np.zeros((base + 2 * len(new), len(self.languages)), np.float32)])
-            self.scores[base : base + len(new)] = scores
-            self.known.update((w, base + i) for i, w in enumerate(new))
-        return [np.fromiter(map(self.known.__getitem__, t), np.int64, len(t)) for t in texts]
+        self.letters, self.readable = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _learn(self, new: list[str]) -> None:
+        """Put words into the tables."""
+        flat, starts = [], []
+        for w in new:
+            starts.append(len(flat))
+            flat += [self.row.get(g, self.unseen[len(g)]) for g in _grams(w)]
+        scores = np.add.reduceat(self.table[np.array(flat)], np.array(starts), axis=0)
+        base, more = len(self.known), len(new)
+        readable = np.ones(more, bool)
+        for i, w in enumerate(new):
+            mask = self.scripts.get(script(w[0]))
+            if mask is None or not any(mask):
+                scores[i], readable[i] = 0, False
+            elif not all(mask):
+                scores[i, ~np.array(mask)] = scores[i].min() - 1e4
+        if len(self.scores) < base + more:
+            room = base + 2 * more
+            self.scores = np.concatenate([self.scores[:base], np.zeros((room, len(self.languages)), np.float32)])
+            self.letters = np.concatenate([self.letters[:base], np.zeros(room, np.int64)])
+            self.readable = np.concatenate([self.readable[:base], np.zeros(room, bool)])
+        self.scores[base : base + more], self.readable[base : base + more] = scores, readable
+        self.letters[base : base + more] = list(map(len, new))
+        self.known.update((w, base + i) for i, w in enumerate(new))
+
+    def indices(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Rows of ``scores``, ``letters`` and ``readable`` for each text's words; the tables of known words and chunks are bounded.
+
+        White space ends words, so a text's words are those of its chunks between white space, and each distinct chunk is looked at once.
+        """
+        if len(self.known) > KNOWN_WORDS or len(self.chunks) > 2 * KNOWN_WORDS:
+            self.known, self.chunks = {}, {}
+        split = [(t or "").split() for t in texts]
+        new = {c: words(c) for c in set().union(*split).difference(self.chunks)}
+        unknown = {w for ws in new.values() for w in ws}.difference(self.known)
+        if unknown:
+            self._learn(list(unknown))
+        long = {}
+        for c, ws in new.items():
+            (self.chunks if len(c) <= LONGEST else long)[c] = np.fromiter(map(self.known.__getitem__, ws), np.int32, len(ws)).tobytes()
+        known = self.chunks.__getitem__ if not long else lambda c: self.chunks[c] if c in self.chunks else long[c]
+        return [np.frombuffer(b"".join(map(known, t)), np.int32) for t in split]
 
     def paths(self, rows: list[np.ndarray], penalty: float = SWITCH) -> list[np.ndarray]:
         """For each text (rows of ``scores`` for its words, at least one) the language of each word on the best path."""
@@ -128,8 +150,9 @@ def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     s = np.concatenate([texts[i] for i in order])
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # texts with a word at each step
-    own = np.arange(s.shape[1], dtype=np.int8)
-    back = np.empty(s.shape, np.int8)
+    kind = np.min_scalar_type(s.shape[1])
+    own = np.arange(s.shape[1], dtype=kind)
+    back = np.empty(s.shape, kind)
     value = s[starts].astype(np.float64)
     for t in range(1, lengths[0]):
         n = active[t]
@@ -137,7 +160,7 @@ def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         top = v.argmax(axis=1)
         floor = v[np.arange(n), top] - penalty
         switch = v < floor[:, None]
-        back[at] = np.where(switch, top[:, None].astype(np.int8), own)
+        back[at] = np.where(switch, top[:, None].astype(kind), own)
         np.maximum(v, floor[:, None], out=v)
         v += s[at]
     labels = np.empty(len(s), np.int64)
@@ -159,11 +182,16 @@ def _held_out(doc_id):
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple:
-    """Languages, n-gram counts and scripts from labelled documents that aren't held out; their number is bounded by per_language."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out(F.col("doc_id"))).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select("doc_id").distinct()
-    sample = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    """Languages, n-gram counts and scripts from labelled documents that aren't held out.
+
+    A language has per_language of them, or all if there are fewer: those whose lot, a hash of id and text, is below per_language over their
+    number. So their number varies about per_language by its square root.
+    """
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out(F.col("doc_id"))).select("lang", "doc_id", "text")
+    # A document's lot decides, by itself: no language's documents meet in a task.
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = labelled.join(F.broadcast(counts), "lang").filter(lot < F.lit(float(per_language)) / F.col("_n")).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -220,7 +248,7 @@ def spans(text: str | None, model: Model, labels: np.ndarray) -> list[tuple[int,
 
 
 def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> DataFrame:
-    """docs (text, ...) with lang_pred and score, and spans (start, end, lang) if asked for; columns of these names are replaced."""
+    """docs (text, ...) with lang_pred, score, readable (the share of letters in scripts of learned languages), and spans (start, end, lang) if asked for; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, trained))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
@@ -230,25 +258,25 @@ def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> Dat
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
                 texts = some.column(1).to_pylist()
-                split = [words(t) for t in texts]
-                pred, score, runs = [], [], []
-                rows = model.indices(split) if model.languages else [None] * len(split)
-                found = iter(model.paths([r for r in rows if r is not None and len(r)]))
-                for text, w, r in zip(texts, split, rows, strict=True):
-                    if not w or r is None:
-                        pred.append(UNKNOWN), score.append(0.0), runs.append([])
+                pred, score, readable, runs = [], [], [], []
+                rows = model.indices(texts) if model.languages else [np.zeros(0, np.int32) for _ in texts]
+                found = iter(model.paths([r for r in rows if len(r)]))
+                for text, r in zip(texts, rows, strict=True):
+                    if not len(r):
+                        pred.append(UNKNOWN), score.append(0.0), readable.append(0.0), runs.append([])
                         continue
-                    labels = next(found)
-                    letters = np.bincount(labels, weights=np.fromiter(map(len, w), np.int64, len(w)), minlength=len(model.languages))
+                    labels, sizes = next(found), model.letters[r]
+                    letters = np.bincount(labels, weights=sizes, minlength=len(model.languages))
                     pred.append(model.languages[int(letters.argmax())]), score.append(float(letters.max() / letters.sum()))
+                    readable.append(float(sizes[model.readable[r]].sum() / sizes.sum()))
                     runs.append([dict(zip(("start", "end", "lang"), x, strict=True)) for x in spans(text, model, labels)] if with_spans else [])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(runs, span)], ["row", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(readable, pa.float64()), pa.array(runs, span)], ["row", "lang_pred", "score", "readable", "spans"])
 
-    new = ["lang_pred", "score"] + ["spans"] * with_spans
+    new = ["lang_pred", "score", "readable"] + ["spans"] * with_spans
     others = [c for c in docs.columns if c not in new]
     # The row is kept in one column, so that its own columns may have any names.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
-    added = StructType.fromDDL("lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    added = StructType.fromDDL("lang_pred string, score double, readable double, spans array<struct<start: long, end: long, lang: string>>")
     schema = StructType([rows.schema["row"], *added.fields])
     found = rows.mapInArrow(run, schema)
     return found.select(*[F.col("row")[c].alias(c) for c in others], *new)
@@ -257,4 +285,4 @@ def identified(docs: DataFrame, trained: tuple, with_spans: bool = False) -> Dat
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = identified(docs.select("doc_id", "text"), train(docs))
-    return found.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "readable")

@@ -4,13 +4,10 @@ A line's digits are masked; the tree's path is its token count and its LEADING l
 In a leaf that lines of MIN_DOCS texts reach, a token stays if MIN_DOCS texts have it at its position, any other one is a variable
 field <*>; what results is the line's template. A template recurs if MIN_DOCS different texts have a line of it and
 enough of its tokens are fixed (FIXED_SHARE, and FIXED_TOKENS of them; a line without variable fields needs neither). Lines
-of recurring templates are dropped. A document that is recurring lines for the most part (over COPY_SHARE of its characters) is
-a copy of other documents rather than one with boilerplate in it: near-duplicate removal decides about such
-documents as a whole, and their lines stay.
+of recurring templates are dropped, whatever share of a document they are.
 
-With ``by_groups`` (the pipeline's way; the registered query keeps the rule of its SQL) a share decides nothing. Texts that are recurring
-lines for the most part are compared, and a line counts once for each group of near duplicates: lines that only copies share stay, for
-near-duplicate removal to decide about, and lines of recurring templates are dropped from any document, be they all of it. A long line
+With ``by_groups`` (the pipeline's way) lines that only near copies share are left to near-duplicate removal: texts that are recurring
+lines for the most part (over COPY_SHARE of their characters) are compared, and a line counts once for each group of near duplicates. A long line
 (LONG_WORDS or LONG_CHARS) that two such groups have as it is stays in the group with the smallest doc_id and goes from the others.
 
 All counts are of distinct texts, so exact copies count once. Lines move as hashes with their numbers; distinct masked lines stand
@@ -179,14 +176,14 @@ def dedup_lines(docs: DataFrame, by_groups: bool = False) -> DataFrame:
         grouped = grouped.groupBy("key", "doc").agg(F.sum("n").alias("n"), F.first("leaf").alias("leaf"))
         hit = hits(stored(grouped, "line-group-pairs")).select("doc_id", "doc", "at", "size")
         per_doc = stored(_per_doc(hit.union(repeated_long_lines(long, shared, groups))), "line-group-hits")
-    whole = F.length(F.replace("text", F.lit("\n")))
     # The row is kept in one column, so that its own columns may have any names.
     rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    boiled = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_doc")), "left")
-    boiled = boiled.withColumn("_drop", F.when(F.lit(by_groups) | (F.col("_size") <= COPY_SHARE * whole), F.col("_at")))
+    boiled = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_doc")), "left").withColumnRenamed("_at", "_drop")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("_drop", i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop")
+    # The lines are one value inside the outer function, split once and then taken by number.
+    kept = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))[0]
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
     new = F.struct(text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
     out = boiled.select("_row", new.alias("_new"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -215,8 +212,8 @@ p AS (SELECT t.masked, string_agg(CASE WHEN c.token IS NOT NULL AND NOT contains
 g AS (SELECT masked, template FROM p WHERE fixed >= 4 AND fixed >= 0.7 * total OR fixed = total),
 o AS (SELECT template FROM g JOIN m USING (masked) GROUP BY template HAVING count(DISTINCT text) >= 5),
 r AS (SELECT masked FROM d WHERE docs >= 5 UNION SELECT masked FROM g WHERE template IN (SELECT template FROM o)),
-h AS (SELECT doc_id, sum(length(line)) AS size, list(pos) AS ats FROM m JOIN r USING (masked) GROUP BY doc_id),
-x AS (SELECT doc_id, text, CASE WHEN h.size <= 0.5 * length(replace(text, chr(10), '')) THEN h.ats END AS ats FROM documents LEFT JOIN h USING (doc_id))
+h AS (SELECT doc_id, list(pos) AS ats FROM m JOIN r USING (masked) GROUP BY doc_id),
+x AS (SELECT doc_id, text, h.ats FROM documents LEFT JOIN h USING (doc_id))
 SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_dropped,
   md5(CASE WHEN ats IS NULL THEN text ELSE coalesce((SELECT string_agg(line, chr(10) ORDER BY pos) FROM m WHERE m.doc_id = x.doc_id AND NOT list_contains(x.ats, m.pos)), '') END) AS text_md5
 FROM x

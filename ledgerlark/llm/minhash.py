@@ -1,8 +1,8 @@
 """Near duplicates by b-bit MinHash.
 
 1. A document's shingle set gives PERMUTATIONS minima. Bands of the full minima are keys of buckets; of each
-   minimum the low BITS bits are kept, packed, as the signature. Documents with equal sets are one class, with its
-   smallest doc_id as representative, so groups of exact copies vanish before anything is shuffled by bucket.
+   minimum the low BITS bits are kept, packed, as the signature. Documents with equal sets are one class, with a
+   number of its own, so groups of exact copies vanish before anything is shuffled by bucket.
 2. In each bucket one member, drawn by a hash that differs from band to band, is the centre: every member is a candidate
    with it, never with all others.
 3. Equal low bits of two signatures, counted, give a similarity; what agrees by chance (2 ** -BITS of the minima) is taken off.
@@ -14,8 +14,8 @@ With 32 bands of 4 minima, a pair at the threshold of 0.75 shares no bucket in 5
 
 Defined results: null and empty texts, and those of white space, have no shingles, form components of their own and are kept;
 fewer than SHINGLE words are one shingle; repeated rows are copies of each other; rows with one doc_id and different
-texts count as one document with the links of one of the texts; an empty table gives an empty result; columns other than doc_id
-and text aren't looked at. A row with a null doc_id has no links, as it has no name to link.
+texts have each the links of their text; an empty table gives an empty result; columns other than doc_id
+and text aren't looked at. A row with a null doc_id is linked as any other, and names a component (by null) only if all its rows are such.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import hot_lookup, read_table, stored
+from ._common import hot_lookup, read_table, stored, text_key
 from ._words import shingle_set
 
 SHINGLE = 5
@@ -60,14 +60,14 @@ def _packed(minima: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands and signature."""
+    """doc_id, text_key, n_shingles, set_key (null for an empty set), bands and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
                 sizes, keys, bands, codes = [], [], [], []
-                for text in some.column(1).to_pylist():
+                for text in some.column(2).to_pylist():
                     s = shingle_set(text, SHINGLE)
                     sizes.append(len(s))
                     if not len(s):
@@ -78,10 +78,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append([int.from_bytes(blake2b(b.tobytes(), digest_size=8).digest(), "little", signed=True) for b in m.reshape(BANDS, -1)])
                     codes.append(_packed(m))
                 kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                columns = [some.column(0), *[pa.array(v, k) for v, k in zip((sizes, keys, bands, codes), kinds, strict=True)]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bands", "signature"])
+                columns = [*some.columns[:2], *[pa.array(v, k) for v, k in zip((sizes, keys, bands, codes), kinds, strict=True)]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "set_key", "bands", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, signature array<long>")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key string, n_shingles long, set_key binary, bands array<long>, signature array<long>")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -102,17 +102,17 @@ def similarity(a: Column, b: Column) -> Column:
     return ((1 - apart / F.lit(float(PERMUTATIONS))) - chance) / (1 - chance)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes as bytes."""
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """rep and the sorted distinct shingle hashes, as bytes, of rows (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
                 sets = pa.array([shingle_set(t, SHINGLE).tobytes() for t in some.column(1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), sets], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column(0), sets], ["rep", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return rows.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -129,8 +129,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
                 keep.append(100 * both >= threshold * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_s")), "a")
-    with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_t")), "b")
+    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_s")), "a")
+    with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("_t")), "b")
     return with_b.select("a", "b", "_s", "_t").mapInArrow(run, "a long, b long")
 
 
@@ -190,7 +190,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     mark = None
     t = 0
     while True:
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum("v").alias("s")).first()
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u", F.lit(1))).alias("y")).first()
         if now["n"] == 0 or now == mark:
             break
         mark, t = now, t + 1
@@ -208,14 +208,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    """doc_id, text_key, n_shingles, component_id, kept (doc_id = component_id) and first for every row of docs (doc_id, text).
+
+    first marks the rows of one document of each component: that with component_id, and if several texts have that id the
+    one with the least text_key.
+    """
     floor = threshold / 100 - SLACK
     signed = stored(signatures(docs), "minhash")
     total = signed.count()
-    classes = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(
+        F.min(row).alias("row"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")
     )
-    classes = stored(classes, "minhash-classes")
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     # The centre of a bucket: a member that a hash draws, another one in another band.
     buckets = keyed.groupBy("band", "key").agg(
@@ -223,9 +228,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
     buckets = stored(buckets.filter("members > 1").select("band", "key", "centre"), "minhash-buckets")
     members = stored(keyed.join(buckets, ["band", "key"]), "minhash-members")
-    codes = stored(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "signature", "bands", "n_shingles"), "minhash-codes")
-    sets = shingle_sets(docs.join(codes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    sets = stored(sets.dropDuplicates(["doc_id"]), "minhash-sets")
+    codes = stored(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "signature", "bands", "n_shingles", F.struct("row.doc_id", "row.text_key").alias("_id")), "minhash-codes")
+    # One row of each class.
+    rows = docs.select(F.struct("doc_id", text_key().alias("text_key")).alias("_id"), "text").join(codes.select("_id", "rep"), "_id")
+    sets = stored(shingle_sets(rows).dropDuplicates(["rep"]), "minhash-sets")
+    codes = codes.drop("_id")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         left = pairs.join(codes.select(F.col("rep").alias("a"), F.col("signature").alias("_x")), "a")
@@ -262,22 +269,26 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
     pairs = confirmed(pairs.select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b")).distinct(), sets, threshold)
     large = split.filter(F.col("members") > SMALL_BUCKET).drop("members")
-    mixed = labelled.join(large, ["band", "key"]).join(codes.drop("n_shingles"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    mixed = labelled.join(large, ["band", "key"]).join(codes.drop("n_shingles"), "rep").join(sets, "rep")
     mixed = stored(mixed.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")), "stray_block": F.pmod(F.xxhash64("rep"), F.col("stray_blocks"))}), "minhash-mixed")
     more = stored(linked_blocks(mixed, floor, threshold).unionByName(pairs).distinct(), "minhash-more")
     if not more.isEmpty():
         first = stored(components(links.unionByName(more), "minhash-all"), "minhash-second")
 
-    named = classes.select("set_key", "copies", "rep").join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    named = stored(named.select("set_key", "copies", F.coalesce("component", "rep").alias("component")), "minhash-named")
-    empty = signed.filter("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    rest = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_key")
-    found = hot_lookup(rest, named, "set_key", "copies", total).select("doc_id", "n_shingles", "component")
-    return found.unionByName(empty).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    named = classes.select("set_key", "copies", "rep", "row").join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    named = stored(named.select("set_key", "copies", "row", F.coalesce("component", "rep").alias("component")), "minhash-parts")
+    least = named.groupBy("component").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("parts"))
+    named = stored(hot_lookup(named.select("set_key", "copies", "component"), least, "component", "parts", total).select("set_key", "copies", "least"), "minhash-named")
+    empty = signed.filter("set_key IS NULL").select("doc_id", "text_key", "n_shingles", F.lit(None).cast(named.schema["least"].dataType).alias("least"))
+    rest = signed.filter("set_key IS NOT NULL").select("doc_id", "text_key", "n_shingles", "set_key")
+    found = hot_lookup(rest, named, "set_key", "copies", total).drop("set_key").unionByName(empty)
+    found = found.withColumn("component_id", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")))
+    found = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.withColumn("first", F.col("kept") & F.coalesce(F.col("text_key") == F.col("least.text_key"), F.lit(True))).drop("least")
 
 
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_SQL = r"""

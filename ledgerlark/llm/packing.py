@@ -30,7 +30,7 @@ from ._tokens import encoder
 
 CAPACITY = 1024
 SMALLEST = 32
-AT_ONCE = 1024
+AT_ONCE = 512
 
 
 def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:

@@ -23,7 +23,7 @@ from ._tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-AT_ONCE = 1024
+AT_ONCE = 512
 #: Bytes of text in a file, about.
 FILE_BYTES = 64 << 20
 

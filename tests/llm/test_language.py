@@ -28,6 +28,41 @@ def test_held_out_accuracy(spark, trained):
     assert np.mean([g["lang_pred"] == r[2] for g, r in zip(got, own)]) > 0.97
 
 
+def test_accuracy_on_rows_that_were_not_learned(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows(100), SCHEMA)
+    found = language.identified(df, language.train(df)).filter(language._held_out(F.col("doc_id")))
+    got = found.select("lang", "lang_pred").collect()
+    assert len(got) > 60 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+
+
+def test_same_results_as_a_plain_search(spark, trained):
+    """Words by one pattern over the whole text, scores word by word, and the best path by its recurrence."""
+    model = language.Model(*trained)
+    rng = np.random.default_rng(5)
+    vocabulary = [w for t in WORDS.values() for w in t.split()] + ["x", "Haus!", "old-river", "3rd", "дом,дом", "漢字"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 60))) + "\n" * int(rng.integers(0, 2)) for _ in range(80)]
+    for text, got in zip(texts, predict(spark, trained, texts), strict=True):
+        ws = [w for w in language._WORD.findall(text.lower()) if any(map(str.isalpha, w))]
+        model.known, model.chunks = {}, {}
+        if ws:
+            model._learn(list(dict.fromkeys(ws)))
+        s = [model.scores[model.known[w]].astype(float) for w in ws]
+        best, back = [s[0]] if s else [], []
+        for v in s[1:]:
+            back.append([int(np.argmax([best[-1][y] - language.SWITCH * (y != x) for y in range(3)])) for x in range(3)])
+            best.append(v + np.array([max(best[-1][y] - language.SWITCH * (y != x) for y in range(3)) for x in range(3)]))
+        path = [int(np.argmax(best[-1]))] if s else []
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        letters = np.bincount(path[::-1], weights=[len(w) for w in ws], minlength=3) if s else np.zeros(3)
+        if not s:
+            assert got["lang_pred"] == "und"
+        elif np.sort(letters)[-1] - np.sort(letters)[-2] > 0:
+            assert got["lang_pred"] == model.languages[int(letters.argmax())] and abs(got["score"] - letters.max() / letters.sum()) < 1e-9
+
+
 def test_spans_of_a_mixed_text(spark, trained):
     a, b = WORDS["en"], WORDS["de"]
     (got,) = predict(spark, trained, [f"{a}. {a}! {b}; {b}"], spans=True)
@@ -41,6 +76,7 @@ def test_edge_cases(spark, trained):
     assert [r["lang_pred"] for r in got[:4]] == ["und", "und", "und", "ru"]
     assert got[4]["lang_pred"] in trained[0] and got[5]["lang_pred"] == got[6]["lang_pred"] == "en"
     assert all(0 <= r["score"] <= 1 for r in got)
+    assert [r["readable"] for r in got[3:]] == [1.0, 0.0, 1.0, 1.0]
 
 
 def test_without_labels_and_empty(spark):

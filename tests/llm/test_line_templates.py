@@ -25,17 +25,22 @@ def test_few_texts_keep_their_lines(spark):
     assert all(v[2] == 0 for v in run(spark, rows).values())
 
 
-def test_copies_stay_whole(spark):
+def test_exact_copies_count_once_and_shared_lines_go_whatever_their_share(spark):
     rows = [(i, prose(0)) for i in range(20)] + [(20 + i, prose(1) + f"\nlast {'x' * i}") for i in range(8)]
     got = run(spark, rows)
-    assert all(v[2] == 0 for v in got.values())
+    assert all(got[i][2] == 0 for i in range(20)) and all(got[20 + i] == (f"last {'x' * i}", 5, 4) for i in range(8))
+
+
+def test_many_dropped_lines(spark):
+    rows = [(i, "\n".join(f"line {'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10 % 10]}{'uvwxyzabcd'[j // 100 % 10]}{'efghijklmn'[j // 1000]}" for j in range(10000)) + f"\n{prose(i)}") for i in range(5)]
+    assert all(got == (prose(i), 10004, 10000) for i, got in run(spark, rows).items())
 
 
 def test_edge_cases(spark):
     rows = [(i, f"Common line here\n\n{prose(i)}") for i in range(6)] + [(10, None), (11, ""), (12, "\n\n"), (13, "Common line here"), (14, "x" * 300000), (5, f"Common line here\n\n{prose(5)}"), (None, f"Common line here\n{prose(77)}")]
     got = run(spark, rows)
     assert got[5] == ("\n" + prose(5), 6, 1) and got[None] == (prose(77), 5, 1)
-    assert got[10] == (None, 0, 0) and got[11] == ("", 1, 0) and got[12] == ("\n\n", 3, 0) and got[13] == ("Common line here", 1, 0) and got[14][2] == 0
+    assert got[10] == (None, 0, 0) and got[11] == ("", 1, 0) and got[12] == ("\n\n", 3, 0) and got[13] == ("", 1, 1) and got[14][2] == 0
 
 
 def test_empty(spark):

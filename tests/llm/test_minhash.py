@@ -63,7 +63,7 @@ def test_edge_cases(spark):
     got = run(spark, rows)
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (1, 8), 9: (1, 8)}
     many = minhash.near_duplicates(spark.createDataFrame([(1, "p q r", "", ""), (1, "p q r", "", ""), (None, "p q r", "", "")], SCHEMA)).collect()
-    assert sorted((r.doc_id is None, r.component_id, r.kept) for r in many) == [(False, 1, True), (False, 1, True), (True, None, True)]
+    assert sorted((r.doc_id is None, r.component_id, r.kept, r.first) for r in many) == [(False, 1, True, True), (False, 1, True, True), (True, 1, False, False)]
 
 
 def test_empty(spark):
@@ -81,3 +81,29 @@ def test_estimate_follows_the_true_similarity(spark):
         got = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(minhash.similarity(F.col("x"), F.col("y"))).first()[0]
         errors.append(abs(got - share))
     assert max(errors) < 0.16
+
+
+def test_ids_of_several_texts_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " more"), (None, a), (None, c), (None, c + " more")]
+    got = minhash.near_duplicates(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).join(spark.createDataFrame(rows, "i long, text string").select(F.md5(F.col("text").cast("binary")).alias("text_key"), "text").distinct(), "text_key").collect()
+    assert sorted((r.text[0], r.text.endswith("more"), r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [
+        ("a", False, 0, 1, False), ("a", False, 1, 1, True), ("b", False, 1, 1, True), ("b", True, 2, 1, False), ("c", False, 0, 0, True), ("c", True, 0, 0, True)]
+    assert sorted(r.text[0] for r in got if r.first) == ["a", "b", "c"]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of exactly 0.75 to 0.8 similarity, 300 of them: all are found."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(300):
+        n = 84 + int(rng.integers(0, 4))
+        base = [f"p{k}w{i}" for i in range(n)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: n - 10], *(f"q{k}x{i}" for i in range(10))]))]
+    want = brute_pairs(rows)
+    assert sum(want) > 290 and [c == 2 * k for k, c in enumerate(run(spark, rows)[2 * k + 1][1] for k in range(300))] == want
+
+
+def brute_pairs(rows):
+    sets = [set(shingle_set(t, 5).tolist()) for _, t in rows]
+    return [100 * len(a & b) >= 75 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]

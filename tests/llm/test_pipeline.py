@@ -15,6 +15,9 @@ def docs(spark):
     rows = [(i, f"Posted by the editors of this site\n{story(i)}", "en", "s", 1, "d") for i in range(10)]
     rows += [(20, story(3) + " more", "en", "s", 1, "d"), (21, None, None, None, None, None), (22, "123 456", "en", "s", 1, "d"), (23, "", "en", "s", 1, "d")]
     rows += [(24, "Before it. One two three four five six seven eight nine ten eleven twelve. After it came more words", "en", "s", 1, "d"), (9, rows[9][1], "en", "s", 1, "d")]
+    # One id with two texts, an id of null twice, a text in a script that nothing teaches, and a very long text.
+    rows += [(30, story(30), "en", "s", 1, "d"), (30, story(31), None, "s", 1, "d"), (None, story(32), "en", "s", 1, "d"), (None, story(33), "en", "s", 1, "d"), (34, "漢字 かな " * 9, None, "s", 1, "d")]
+    rows += [(35, " ".join(f"long{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(15000)), "en", "s", 1, "d")]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -26,10 +29,13 @@ def test_stages_take_effect(spark, tmp_path):
         now = corpus_pipeline.stored(stage(spark, now, str(tmp_path)), "t")
         assert now.columns == docs(spark).columns
         kept.append({r.doc_id: r.text for r in now.collect()})
-    assert set(kept[0]) == {*range(10), 20, 24}
-    assert all(t == story(i) for i, t in kept[1].items() if i < 10)
-    assert set(kept[2]) == {*range(10), 24} and now.count() == len(kept[3])
-    assert set(kept[3]) == {*range(10)}
+    clean = {*range(10), 30, None, 35}
+    assert set(kept[0]) == {*clean, 20, 24}
+    assert all(t == story(i) for i, t in kept[1].items() if i in range(10))
+    assert set(kept[2]) == {*clean, 24} and now.count() == len(kept[3]) + 2
+    assert set(kept[3]) == clean
+    texts = {(r.doc_id, r.text, r.lang) for r in now.collect()}
+    assert {(30, story(30), "en"), (30, story(31), "en"), (None, story(32), "en"), (None, story(33), "en")} <= texts
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.collect()} == set(kept[3])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "MinHash near-dedup", "benchmark decontamination", "packing"]
