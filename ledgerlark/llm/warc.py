@@ -1,13 +1,15 @@
 """Web archives: records with equal payloads are stored once, later readers find the rest by revisit records.
 
-Headers (id, digest, length), never payloads, are shuffled by payload digest; revisit records are joined to the
-original response of their digest and written, with fresh headers, by Spark's text writer (one archive file for each
-partition, CRLF line ends, an optional codec). Reading splits the files at the record boundary, so one archive may
+Digests and ids, never payloads, are shuffled to find which payloads repeat. Records of a payload that doesn't repeat need nothing else: a
+bitmap of the repeated digests, of a fixed size, lets them pass straight to their archive. The others are joined to the original
+response of their digest (hot digests by broadcast), and revisits are written as headers of their own. Archives are written by Spark's text
+writer (one file for each partition, CRLF line ends, an optional codec). Reading splits the files at the record boundary, so one archive may
 be read by many tasks.
 
 Defined results: a null payload counts as empty; a null page_id or url leaves its header out and is read back as
-null; equal page_ids with equal payloads give one response each; an empty table gives no record. Line ends in urls are
-percent-encoded. The boundary is a header line drawn from the digests of all payloads, which no payload can foresee; each
+null; a null page_id is no original if another row has an id, and a revisit of it; equal page_ids with equal payloads give one response each; an
+empty table gives no record. CR and LF in urls are percent-encoded; all other characters stay, as header lines end at CRLF alone.
+The boundary is a header line drawn from the digests of all payloads, which no payload can foresee; each
 record's length is checked against its Content-Length when read.
 """
 
@@ -18,35 +20,43 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, hot_lookup, read_table
+from ._common import fresh_path, hot_lookup, read_table, stored
 
 #: Payloads under this many bytes are not worth a revisit record.
 MIN_REVISIT_BYTES = 1000
+#: Bits of the bitmap of repeated digests, a power of two: at most BITMAP_BITS / 64 rows are broadcast.
+BITMAP_BITS = 1 << 24
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages (page_id, url, html) with payload_bytes, payload_digest, record_type and refers_to.
+    """pages (page_id, url, html) with payload_bytes, payload_digest, record_type and refers_to; html is empty in revisits.
 
-    Of the records with one digest and length, at least min_bytes long, that with the largest page_id is the response.
+    Of the records with one digest, at least min_bytes long, that with the largest page_id is the response.
     """
     total = pages.count()
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    heads = pages.select("page_id", "url", payload.alias("html")).withColumns(
-        {"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.col("html").cast("binary"))}
-    )
+    full = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    full = full.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
     originals = (
-        heads.filter(F.col("payload_bytes") >= min_bytes)
-        .groupBy(F.col("payload_digest").alias("digest"))
+        full.filter(F.col("payload_bytes") >= min_bytes)
+        .groupBy("digest")
         .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1")
     )
-    found = hot_lookup(heads.select("page_id", "url", F.col("payload_digest").alias("digest"), "payload_bytes"), originals, "digest", "copies", total)
+    originals = stored(originals, "warc-originals")
+    place = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    cell, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    bitmap = originals.select(cell.alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    tried = full.withColumns({"_cell": cell, "_bit": bit}).join(F.broadcast(bitmap), "_cell", "left")
+    likely = F.coalesce(F.expr("shiftright(_bits, _bit) & 1 = 1"), F.lit(False))
+    unique = tried.filter(~likely).select(*full.columns, F.lit(None).cast("long").alias("original"))
+    found = hot_lookup(tried.filter(likely).select(*full.columns), originals, "digest", "copies", total).unionByName(unique)
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return found.select(
         "page_id",
         "url",
+        F.when(revisit, "").otherwise(F.col("html")).alias("html"),
         "payload_bytes",
         F.col("digest").alias("payload_digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
@@ -65,20 +75,15 @@ def _record_id(page_id):
 
 def write_archives(pages: DataFrame, path: str, date: str, min_bytes: int = MIN_REVISIT_BYTES, codec: str | None = None) -> str:
     """Write a WARC record for each page under path; returns the boundary that read_archives needs."""
-    heads = resolve_revisits(pages, min_bytes)
     seal = pages.select(F.bitwise_not(F.bit_xor(F.xxhash64("html", "page_id"))).alias("a"), F.count(F.lit(1)).alias("n")).first()
     boundary = hashlib.sha256(f"{path} {seal['a']} {seal['n']}".encode()).hexdigest()[:32]
-    # The decision comes back to the page by its id; equal ids with different payloads are told apart by the digest.
-    full = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    full = full.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.col("html").cast("binary"))})
-    revisits = heads.filter("record_type = 'revisit'").select("page_id", "payload_digest", "refers_to").distinct()
-    known = full.join(revisits, ["page_id", "payload_digest"], "left")
+    known = resolve_revisits(pages, min_bytes)
     head = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
         F.col("payload_bytes").cast("string"),
         F.lit(CRLF + CRLF),
     )
-    revisit = F.col("refers_to").isNotNull()
+    revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, head).otherwise(F.concat(head, F.col("html")))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     records = known.withColumn("_block", block).select(
@@ -116,7 +121,7 @@ def read_archives(spark: SparkSession, path: str, boundary: str) -> DataFrame:
     parts = parts.select(F.expr("substring(value, 1, _cut + 1)").alias("head"), F.expr("substring(value, _cut + 4)").alias("block"))
 
     def field(name: str):
-        return F.nullif(F.regexp_extract("head", rf"(?m)^{name}: (.*)$", 1), F.lit(""))
+        return F.nullif(F.regexp_extract("head", rf"(?md)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
 
     heads = parts.select("block", *[field(n).alias(a) for n, a in (("WARC-Type", "record_type"), ("X-Page-Id", "page_id"), ("WARC-Target-URI", "url"), ("WARC-Payload-Digest", "digest"), ("X-Refers-To-Page-Id", "refers_to"), ("Content-Length", "length"))])
     length = F.col("length").cast("long")

@@ -35,3 +35,17 @@ def test_headers_only_decide(spark):
     rows = [(i, "u", "p" * 1500, "", "") for i in range(50)]
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: ("revisit", 49) for i in range(49)} | {49: ("response", None)}
+
+
+def test_unicode_line_ends_in_urls_and_null_ids(spark):
+    rows = [(1, "u Content-Length: 5", "a" * 10), (2, "u\u0085X-Refers-To-Page-Id: 9", "b"), (None, "n", "c" * 1000), (4, "m", "c" * 1000), (None, "n", "d" * 1000), (None, "n", "d" * 1000)]
+    path = fresh_path(spark, "t")
+    boundary = warc.write_archives(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA), path, "2024-01-01T00:00:00Z", codec="gzip")
+    got = sorted(((r.page_id or 0, r.url, r.payload, r.record_type, r.refers_to) for r in warc.read_archives(spark, path, boundary).collect()), key=repr)
+    want = [(1, rows[0][1], "a" * 10, "response", None), (2, rows[1][1], "b", "response", None), (4, "m", "c" * 1000, "response", None), (0, "n", None, "revisit", 4)] + [(0, "n", "d" * 1000, "response", None)] * 2
+    assert got == sorted(want, key=repr)
+
+
+def test_unique_payloads(spark):
+    pages = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "repeat(CAST(id AS STRING), 1000) AS html")
+    assert {r.record_type for r in warc.resolve_revisits(pages).collect()} == {"response"}
