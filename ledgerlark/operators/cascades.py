@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .context import PHOTO_CATEGORIES
 
+#: Patterns of a rule that forbids under conditions only. Fixed values.
+CONDITIONAL_PATTERNS = [r"[0-9]+\)\s", r"사용할\s*수\s*있", r"경우에는\s*사용", r"아니한\s*경우", r"병행하는\s*경우", r"않는\s*경우", r"경우에\s*한하", r"목적으로\s*하", "목적의", "용도", "등에서", "외의"]
+
 #: Categories by the words of their names, and names by code. Fixed values.
 CATEGORY_NAMES = {
     "CAT_01": "안전·보건관리자 임금 등",
@@ -90,7 +93,7 @@ def item_decision(rows: DataFrame) -> DataFrame:
     An exceeded cap comes first, then a rule that clearly forbids (half a point over the best that allows, or none that does), then too little progress.
     """
     forbids = F.col("disallow_score").isNotNull() & (F.col("allow_score").isNull() | (F.col("disallow_score") >= F.col("allow_score") + 0.5))
-    conditional = F.rlike(F.coalesce("evidence", F.lit("")), F.lit(r"[0-9]+\)\s|사용할\s*수\s*있|경우에\s*한하|용도|외의"))
+    conditional = F.rlike(F.coalesce("evidence", F.lit("")), F.lit("|".join(CONDITIONAL_PATTERNS)))
     status = F.when(F.col("limit_exceeded"), "cap_exceeded").when(forbids & ~conditional, "disallowed").when(F.coalesce(F.col("shortfall") > 0, F.lit(False)), "progress_short").when(forbids, "conditional").otherwise("ok")
     out = rows.withColumn("status", status)
     return out.withColumn("result_code", F.when(F.col("status") == "ok", "success").otherwise("hil"))

@@ -57,9 +57,10 @@ def category_metrics(items: DataFrame, budgets: DataFrame, caps: DataFrame, band
     totals = items.groupBy("statement_id", "category_code").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("total"))
     cumulative = F.sum("total").over(Window.partitionBy("statement_id"))
     rows = totals.withColumn("cumulative", cumulative).join(budgets, "statement_id").join(F.broadcast(caps), "category_code", "left")
-    # Bands don't overlap but at their ends, where the first one holds.
-    inside = (F.col("progress") >= F.col("min_rate")) & (F.col("max_rate").isNull() | (F.col("progress") < F.col("max_rate")))
-    rows = rows.join(F.broadcast(bands), inside, "left")
+    # The bands as one value, by their ends: where several hold, the first one does.
+    ordered = bands.agg(F.array_sort(F.collect_list(F.struct("min_rate", "max_rate", "required"))).alias("_bands"))
+    holds = F.filter("_bands", lambda b: (F.col("progress") >= b["min_rate"]) & (b["max_rate"].isNull() | (F.col("progress") < b["max_rate"])))
+    rows = rows.join(F.broadcast(ordered)).withColumn("required", F.get(holds, F.lit(0))["required"])
     cap, required = F.col("budget") * F.col("limit_pct"), F.col("budget") * F.col("required")
     exceeded = F.coalesce(F.col("total") > cap, F.lit(False))
     shortfall = F.when(required.isNotNull(), F.greatest(required - F.col("cumulative"), F.lit(0.0)))

@@ -39,11 +39,18 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _comparable(rows: DataFrame) -> DataFrame:
+    v = F.col("vector")
+    return rows.filter(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0))
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
     """query_id, rank, id, score: the k nearest of vectors (id, vector) for queries (query_id, vector) with at least the threshold.
 
     Queries go to every task in blocks of QUERY_BLOCK, as many passes as there are blocks; each task keeps its k best of a query.
+    Equal scores go to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part.
     """
+    vectors, queries = _comparable(vectors), _comparable(queries)
     spark = vectors.sparkSession
     blocks = -(-queries.count() // QUERY_BLOCK)
     found = None
@@ -61,7 +68,9 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
                     continue
                 ids, v = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
                 score = unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                # A batch's ids are sorted first, so that a stable sort by score gives ties to the smaller id.
+                by_id = np.argsort(ids, kind="stable")
+                best = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
                 rows = np.repeat(np.arange(len(names)), best.shape[1])
                 s = score[rows, best.ravel()]
                 ok = s >= threshold

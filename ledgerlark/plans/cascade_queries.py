@@ -26,9 +26,9 @@ def p15_photos_to_review(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p21_generic_policy(spark: SparkSession, sf: str) -> DataFrame:
-    policies = read(spark, sf, "part").filter("p_partkey % 50 = 0").select(F.array("p_name").alias("aliases"), F.when(F.col("p_partkey") % 100 == 0, F.lit("CAT_02")).alias("category"))
+    policies = read(spark, sf, "part").select(F.array("p_name").alias("aliases"), F.when(F.col("p_partkey") % 2 == 0, F.lit("CAT_02")).alias("category"))
     items = adapted(spark, sf, "items").select("statement_id", "seq", "item_name", "category_code")
-    return cascades.generic_policy(items, policies).groupBy("category_code", "needs_review").agg(F.count(F.lit(1)).alias("n"))
+    return cascades.generic_policy(items, policies).select("statement_id", "seq", "category_code", "needs_review")
 
 
 def d12_evidence_todos(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +39,7 @@ def d12_evidence_todos(spark: SparkSession, sf: str) -> DataFrame:
 
 def u8_omitted_answers(spark: SparkSession, sf: str) -> DataFrame:
     asked = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    answers = read(spark, sf, "orders").filter("o_orderkey % 3 = 0").select((F.col("o_custkey") * 2).alias("id"), F.col("o_orderpriority").alias("answer"), F.col("o_orderkey").alias("at"))
+    answers = read(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("id"), F.col("o_orderpriority").alias("answer"), F.col("o_orderkey").alias("at"))
     none, first = cascades.omitted(asked, answers, "id")
     return first.unionByName(none.withColumn("answer", F.lit(None).cast("string")))
 
@@ -73,11 +73,11 @@ ORACLES = {
     "p26_resolved_category": """WITH g AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) ELSE 'NATION_' || (c_custkey % 40) END AS given FROM customer)
 SELECT c_custkey, CAST(coalesce(a.n_nationkey, b.n_nationkey) AS VARCHAR) AS category_code FROM g LEFT JOIN nation a ON given = CAST(a.n_nationkey AS VARCHAR) LEFT JOIN nation b ON given = b.n_name""",
     "p15_photos_to_review": f"WITH {oracle_with('files', 'items')} SELECT file_id FROM files f WHERE evidence_type = 'site_photo' AND EXISTS (SELECT 1 FROM items i WHERE i.statement_id = f.statement_id AND i.seq = f.item_seq AND category_code IN ('CAT_02', 'CAT_03'))",
-    "p21_generic_policy": f"""WITH {oracle_with('items')}, p AS (SELECT DISTINCT p_name, CASE WHEN p_partkey % 100 = 0 THEN 'CAT_02' END AS c FROM part WHERE p_partkey % 50 = 0)
-SELECT category_code, EXISTS (SELECT 1 FROM p WHERE p_name = item_name AND (c IS NULL OR c = category_code)) AS needs_review, count(*) AS n FROM items GROUP BY 1, 2""",
+    "p21_generic_policy": f"""WITH {oracle_with('items')}, p AS (SELECT DISTINCT p_name, CASE WHEN p_partkey % 2 = 0 THEN 'CAT_02' END AS c FROM part)
+SELECT statement_id, seq, category_code, EXISTS (SELECT 1 FROM p WHERE p_name = item_name AND (c IS NULL OR c = category_code)) AS needs_review FROM items""",
     "d12_evidence_todos": f"""WITH {oracle_with('files', 'requirements')}, l AS (SELECT DISTINCT statement_id, item_seq AS seq, evidence_type FROM files WHERE NOT deleted)
 SELECT CASE WHEN evidence_type = 'site_photo' THEN evidence_type ELSE upper(evidence_type) END || ' missing' AS title, count(*) AS n FROM requirements r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.statement_id = r.statement_id AND l.seq = r.seq AND l.evidence_type = r.evidence_type) GROUP BY 1""",
-    "u8_omitted_answers": "WITH a AS (SELECT o_custkey * 2 AS id, arg_min(o_orderpriority, o_orderkey) AS answer FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT c_custkey AS id, answer FROM customer LEFT JOIN a ON a.id = c_custkey",
+    "u8_omitted_answers": "WITH a AS (SELECT o_custkey * 2 AS id, arg_min(o_orderpriority, o_orderkey) AS answer FROM orders GROUP BY 1) SELECT c_custkey AS id, answer FROM customer LEFT JOIN a ON a.id = c_custkey",
     "w12_first_and_last": f"WITH {oracle_with('logs')} SELECT statement_id AS item_id, first(result_code ORDER BY updated_at, log_id) AS first_result, first(result_code ORDER BY updated_at DESC, log_id DESC) AS last_result FROM logs GROUP BY 1",
     "d5_item_decision": f"""WITH {oracle_with('items')}, n AS (SELECT coalesce(amount > 90000, false) AS lim, seq + CAST(quantity AS INT) AS n FROM items), f AS (SELECT *, n % 3 = 0 AND (n % 2 <> 0) AS forbids, n % 5 = 0 AS cond FROM n),
 s AS (SELECT CASE WHEN lim THEN 'cap_exceeded' WHEN forbids AND NOT cond THEN 'disallowed' WHEN n % 7 = 0 THEN 'progress_short' WHEN forbids THEN 'conditional' ELSE 'ok' END AS status FROM f)

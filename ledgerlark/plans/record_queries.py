@@ -119,7 +119,7 @@ def a19_photo_reviews(spark: SparkSession, sf: str) -> DataFrame:
     events = read(spark, sf, "events")
     kinds = ["click", "view", "error"]
     seen = events.select((F.col("user_id") % 400).alias("file_id"), F.col("event_type").alias("equipment"), (F.col("value") > 10).alias("is_wearing"), (F.col("event_id") % 6 == 0).alias("needs_review"), F.round("value", 2).alias("confidence"))
-    return report.photo_reviews(seen.filter(F.col("equipment").isin(*kinds) & (F.col("event_id") % 4 == 0)), kinds)
+    return report.photo_reviews(seen.filter(F.col("equipment").isin(*kinds)), kinds)
 
 
 def a27_evaluation(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,7 +205,7 @@ SELECT statement_id, CAST(used AS BIGINT) AS used, CAST(budget - used AS BIGINT)
 SELECT statement_id, CASE w WHEN 2 THEN 'inappropriate' WHEN 1 THEN 'needs_review' ELSE 'appropriate' END AS decision, CASE w WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk_level FROM x""",
     "a8_category_notes": f"""WITH {oracle_with('items')}, x AS (SELECT category_code, count(*) AS items, count_if(amount IS NULL) AS inappropriate, count_if(amount IS NOT NULL AND used_on IS NULL) AS review FROM items GROUP BY category_code)
 SELECT *, CASE WHEN inappropriate > 0 THEN 'inappropriate ' || inappropriate WHEN review > 0 THEN 'review ' || review ELSE 'ok' END AS note FROM x""",
-    "a19_photo_reviews": """WITH s AS (SELECT user_id % 400 AS file_id, event_type AS equipment, value > 10 AS is_wearing, event_id % 6 = 0 AS needs_review, round(value, 2) AS confidence FROM events WHERE event_type IN ('click', 'view', 'error') AND event_id % 4 = 0),
+    "a19_photo_reviews": """WITH s AS (SELECT user_id % 400 AS file_id, event_type AS equipment, value > 10 AS is_wearing, event_id % 6 = 0 AS needs_review, round(value, 2) AS confidence FROM events WHERE event_type IN ('click', 'view', 'error')),
 f AS (SELECT DISTINCT file_id, e AS equipment FROM s, (SELECT unnest(['click', 'view', 'error']) AS e)), w AS (SELECT file_id, equipment, max(CASE WHEN NOT is_wearing THEN 3 WHEN needs_review THEN 2 ELSE 1 END) AS w, max(confidence) AS confidence FROM s GROUP BY file_id, equipment)
 SELECT f.file_id, f.equipment, confidence, CASE w WHEN 3 THEN 'not_wearing' WHEN 2 THEN 'needs_review' WHEN 1 THEN 'wearing' ELSE 'unknown' END AS status FROM f LEFT JOIN w USING (file_id, equipment)""",
     "a27_evaluation": """WITH x AS (SELECT quality AS e, toxic AS g, CAST(n_chars > 600 AS INT) AS a FROM labels LEFT JOIN (SELECT * FROM documents WHERE doc_id % 13 <> 0) USING (doc_id)), y AS (SELECT *, coalesce(e = a, false) AS r FROM x)

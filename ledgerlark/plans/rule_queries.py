@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval, rules
@@ -68,22 +68,29 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def r3_cosine(spark: SparkSession, sf: str) -> DataFrame:
     rows = _vectors(spark, sf)
-    found = retrieval.cosine_topk(rows, rows.filter("id % 50 = 1").select(F.col("id").alias("query_id"), "vector"), 5, 0.1)
+    found = retrieval.cosine_topk(rows, rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 5, 0.1)
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def r4_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _vectors(spark, sf)
-    queries = rows.filter("id % 50 = 1").select(F.col("id").alias("query_id"), "vector")
-    even, odd = retrieval.cosine_topk(rows.filter("id % 2 = 0"), queries, 10), retrieval.cosine_topk(rows.filter("id % 3 = 0"), queries, 10)
-    return retrieval.fused(even, odd).select("query_id", "id", F.round("score", 9).alias("score"))
+    """Benchmark items, by their text against all documents and by the vector of the same number against all vectors."""
+    rows, items = _vectors(spark, sf), read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    by_words = retrieval.bm25(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), items, 10)
+    queries = rows.select(F.col("id").alias("query_id"), "vector").join(items.select("query_id").distinct(), "query_id", "left_semi")
+    return retrieval.fused(by_words, retrieval.cosine_topk(rows, queries, 10)).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
+def _others(found: DataFrame, k: int) -> DataFrame:
+    """The k best but for the query itself, of k + 1."""
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return found.filter("id <> query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def r10_fallback(spark: SparkSession, sf: str) -> DataFrame:
     rows = _vectors(spark, sf)
-    queries = rows.filter("id % 50 = 1").select(F.col("id").alias("query_id"), "vector")
-    first = retrieval.cosine_topk(rows.filter("id % 50 <> 1"), queries, 3, 0.45).select("query_id", "rank", "id")
-    out = retrieval.with_fallback(first, queries, lambda q: retrieval.cosine_topk(rows.filter("id % 50 <> 1"), q, 1).select("query_id", "rank", "id"))
+    queries = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    first = _others(retrieval.cosine_topk(rows, queries, 4, 0.45), 3).select("query_id", "rank", "id")
+    out = retrieval.with_fallback(first, queries, lambda q: _others(retrieval.cosine_topk(rows, q, 2), 1).select("query_id", "rank", "id"))
     return out
 
 
@@ -126,7 +133,11 @@ pc AS (SELECT *, count_if(tier = 1) OVER (PARTITION BY item_name, category_code)
 pu AS (SELECT *, row_number() OVER (PARTITION BY item_name, category_code ORDER BY score DESC, tier, rule_id) AS r FROM pc WHERE tier = 1 OR (tier = 2 AND one < 3 AND place <= 8 - one)
   OR (tier = 3 AND one = 0 AND CASE WHEN one < 3 THEN least(two, 8 - one) ELSE 0 END < 2 AND place <= 2) OR (tier = 9 AND place <= 2)),
 matches AS (SELECT * FROM pu WHERE r <= 8)"""
-_UNIT = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT id AS query_id, e AS qe FROM v WHERE id % 50 = 1),
+_BM25 = """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z가-힣]{2,}') AS w FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣]{2,}')) AS term FROM benchmark),
+t AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), p AS (SELECT id, term, dl, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY id, term, dl), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+s AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, id)
+"""
+_UNIT = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT id AS query_id, e AS qe FROM v WHERE id % 20 = 0),
 s AS (SELECT query_id, id, list_dot_product(qe, e) / sqrt(list_dot_product(qe, qe) * list_dot_product(e, e)) AS score FROM q, v)"""
 
 ORACLES = {
@@ -144,15 +155,14 @@ z AS (SELECT *, CASE path WHEN 'vote' THEN vote_code WHEN 'unclassified' THEN NU
 SELECT path, CASE WHEN predicted IS NULL THEN 'needs_model' WHEN predicted = given THEN 'keep' WHEN (given_score > 0 AND top - given_score < 4) OR conf < 0.72 THEN 'keep' ELSE 'change' END AS status, count(*) AS items FROM z GROUP BY 1, 2""",
     "a23_category_votes": """WITH c AS (SELECT doc_id % 100 AS query_id, doc_id // 100 AS rank, unnest(list_distinct([doc_id % 12, n_chars % 9])) AS no FROM documents)
 SELECT query_id, 'CAT_0' || no AS category_code, round(sum(1.0::DOUBLE / (rank + 1)), 9) AS votes FROM c WHERE no BETWEEN 1 AND 9 GROUP BY 1, 2""",
-    "r2_bm25": """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z가-힣]{2,}') AS w FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣]{2,}')) AS term FROM benchmark),
-t AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), p AS (SELECT id, term, dl, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY id, term, dl), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
-s AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, id)
-SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 10""",
+    "r2_bm25": _BM25 + """SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 10""",
     "r3_cosine_topk": f"WITH {_UNIT} SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5 AND score >= 0.1",
-    "r4_rank_fusion": f"""WITH {_UNIT}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE id % 2 = 0), b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE id % 3 = 0),
-u AS (SELECT * FROM a WHERE rank <= 10 UNION ALL SELECT * FROM b WHERE rank <= 10), f AS (SELECT query_id, id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY query_id, id)
-SELECT query_id, id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
-    "r10_fallback_query": f"""WITH {_UNIT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE id % 50 <> 1), a AS (SELECT * FROM r WHERE rank <= 3 AND score >= 0.45)
+    "r4_rank_fusion": _BM25.rstrip() + """, v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), vq AS (SELECT id AS query_id, e AS qe FROM v WHERE id IN (SELECT item_id FROM benchmark)),
+c AS (SELECT query_id, id, list_dot_product(qe, e) / sqrt(list_dot_product(qe, qe) * list_dot_product(e, e)) AS score FROM vq, v),
+ra AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s), rb AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c),
+u AS (SELECT * FROM ra WHERE rank <= 10 UNION ALL SELECT * FROM rb WHERE rank <= 10), fu AS (SELECT query_id, id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY query_id, id)
+SELECT query_id, id, score FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
+    "r10_fallback_query": f"""WITH {_UNIT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE id <> query_id), a AS (SELECT * FROM r WHERE rank <= 3 AND score >= 0.45)
 SELECT query_id, CAST(rank AS INT) AS rank, id, false AS fallback FROM a UNION ALL SELECT query_id, CAST(rank AS INT), id, true FROM r WHERE rank = 1 AND query_id NOT IN (SELECT query_id FROM a)""",
     "r6_sections": """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), h AS (SELECT *, regexp_matches(line, '^(The|Die|La|Le|Of) ') AS hd FROM l),
 n AS (SELECT *, sum(CAST(hd AS INT)) OVER (PARTITION BY id ORDER BY pos) AS section FROM h) SELECT id, CAST(section AS BIGINT) AS section, min(line) FILTER (WHERE hd) AS title, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM n GROUP BY id, section""",

@@ -1,6 +1,6 @@
 """The domain's tables made of the driver's tables, in SQL that Spark and DuckDB both read.
 
-Statements are orders, items their lines, evidence documents and invoices the lines of one supplier in an order, agent logs
+Statements are orders, items their lines, rules the types and sizes of all parts, evidence documents and invoices the lines of one supplier in an order, agent logs
 the events. (l_orderkey, l_linenumber) isn't unique, so an item's number counts the lines in the order of all columns.
 """
 
@@ -52,11 +52,11 @@ SELECT statement_id, seq, evidence_type FROM (
   CROSS JOIN (SELECT 'receipt' AS evidence_type, 2 AS every UNION ALL SELECT 'tax_invoice', 3 UNION ALL SELECT 'site_photo', 5) t
 WHERE l_partkey % every = 0""",
     "rules": """
-SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'CAT_0' || CAST(1 + p_partkey % 9 AS STRING) END AS category_code,
+SELECT min(p_partkey) AS rule_id, CASE WHEN min(p_partkey) % 6 = 0 THEN NULL ELSE 'CAT_0' || CAST(1 + min(p_partkey) % 9 AS STRING) END AS category_code,
   CASE p_size % 8 WHEN 0 THEN 'disallowed' WHEN 1 THEN 'allowed' WHEN 2 THEN 'limit' WHEN 3 THEN 'qa_disallowed' WHEN 4 THEN 'qa_allowed'
     WHEN 5 THEN 'category' WHEN 6 THEN 'rule_like_allowed' ELSE 'rule_like_disallowed' END AS rule_type,
-  p_name AS keyword, p_brand || ' ' || p_type AS body, CASE WHEN p_size % 8 = 2 THEN 0.1 * (1 + p_partkey % 5) END AS limit_pct
-FROM {part} WHERE p_partkey % 20 = 0""",
+  min(p_name) AS keyword, min(p_brand) || ' ' || p_type AS body, CASE WHEN p_size % 8 = 2 THEN 0.1 * (1 + min(p_partkey) % 5) END AS limit_pct
+FROM {part} GROUP BY p_type, p_size""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
