@@ -35,7 +35,7 @@ class ChunkEncoder:
     which the cuts could differ from the library's go to it whole; very long chunks aren't kept.
     """
 
-    def __init__(self, path: str, drops_space: bool, chunks: int = 100_000, pieces: int = 150_000):
+    def __init__(self, path: str, drops_space: bool, chunks: int = 60_000, pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -66,20 +66,24 @@ class ChunkEncoder:
 
     def _encoded(self, chunk: str) -> bytes:
         own = chunk if self.drops_space else chunk[1:] if chunk[:1] == " " else " " + chunk
-        if _OTHER.search(own):
+        if not own.isascii() and _OTHER.search(own) or not own.isprintable() and _OTHER.search(own):
             return self.library([own])[0]
+        pieces = _DROPS_SPACE.findall(own.lower()) if self.drops_space else _KEEPS_SPACE.findall(own)
         known = self.pieces.get
-        return b"".join([known(p) or self._merged(p) for p in (_DROPS_SPACE.findall(own.lower()) if self.drops_space else _KEEPS_SPACE.findall(own))])
+        if len(pieces) == 1:
+            return known(pieces[0]) or self._merged(pieces[0])
+        return b"".join([known(p) or self._merged(p) for p in pieces])
 
-    def _known(self, chunk: str) -> bytes:
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = self.old_chunks.get(chunk)
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        out = list(map(self.chunks.get, chunks))
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = self._encoded(chunk)
-            if len(chunk) <= LONGEST:
-                self.chunks[chunk] = ids
-        return ids
+                chunk = chunks[i]
+                ids = self.old_chunks.get(chunk)
+                out[i] = ids = self._encoded(chunk) if ids is None else ids
+                if len(chunk) <= LONGEST:
+                    self.chunks[chunk] = ids
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin (with the end of the last)."""
@@ -96,7 +100,7 @@ class ChunkEncoder:
         flat = lists.flatten().dictionary_encode()
         index = np.array(flat.indices)
         chunks = flat.dictionary.to_pylist()
-        ids = list(map(self._known, chunks))
+        ids = self._known(chunks)
         if not self.drops_space:
             # A text's first chunk has no space before it: " " and the chunk, a name that no other chunk has, stands for it.
             firsts: dict[int, int] = {}
@@ -104,7 +108,7 @@ class ChunkEncoder:
                 k = int(index[at])
                 if k not in firsts:
                     firsts[k] = len(ids)
-                    ids.append(self._known(" " + chunks[k]) if chunks[k] else b"")
+                    ids += self._known([" " + chunks[k]]) if chunks[k] else [b""]
                 index[at] = firsts[k]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         of_chunk = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
