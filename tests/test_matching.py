@@ -20,8 +20,7 @@ def test_vendor_forms(spark):
 
 def test_similarity(spark):
     def s(a, b):
-        ratio = text.sequence_ratio(text.normalised(F.col("a")), text.normalised(F.col("b")))
-        return one(spark, text.similarity(text.features(F.col("a")), text.features(F.col("b")), ratio), a=a, b=b)
+        return one(spark, text.similarity(text.normalised(F.col("a")), text.normalised(F.col("b"))), a=a, b=b)
 
     assert s("안전모 구입", "안전모 구입") == 1.0 and s("", "x") == 0.0
     # bigrams ab,bc | bc,cd: 1/3; tokens 0; ratio 2*2/6
