@@ -51,3 +51,23 @@ def test_the_bound_holds():
     q = o[0]
     error = onebit.EPSILON * np.sqrt(1 - scalar**2) / scalar / np.sqrt(63)
     assert (np.abs(signs @ q / scalar - o @ q) <= error).mean() > 0.999
+
+
+def test_very_large_and_small_components(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 16))
+    scale = np.where(np.arange(60) % 3 == 0, 1e200, np.where(np.arange(60) % 3 == 1, 1e-200, 1.0))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, scale))]
+    got = onebit.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", lambda i: i % 10 == 0).collect()
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for q in range(0, 60, 10):
+        want = [i for i in np.argsort(-(unit @ unit[q])) if i != q][:5]
+        assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+def test_inner_products_are_those_of_the_signs():
+    rng = np.random.default_rng(9)
+    for d in (5, 8, 64, 70):
+        turned, o = rng.normal(size=(7, d)).astype(np.float32), rng.normal(size=(30, d))
+        got = onebit.inner_products(turned, np.packbits(o > 0, axis=1))
+        assert np.allclose(got, turned @ np.where(o > 0, 1, -1).T / np.sqrt(d), atol=1e-4)
