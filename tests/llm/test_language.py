@@ -41,7 +41,7 @@ def test_same_results_as_a_plain_search(spark, trained):
     """Words by one pattern over the whole text, scores word by word, and the best path by its recurrence."""
     model = language.Model(*trained)
     rng = np.random.default_rng(5)
-    vocabulary = [w for t in WORDS.values() for w in t.split()] + ["x", "Haus!", "old-river", "3rd", "дом,дом", "漢字"]
+    vocabulary = [w for t in WORDS.values() for w in t.split()] + ["x", "Haus!", "old-river", "3rd", "дом,дом"]  # no words that score alike for all languages, as paths would tie
     texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 60))) + "\n" * int(rng.integers(0, 2)) for _ in range(80)]
     for text, got in zip(texts, predict(spark, trained, texts), strict=True):
         ws = [w for w in language._WORD.findall(text.lower()) if any(map(str.isalpha, w))]
