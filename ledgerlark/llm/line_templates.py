@@ -7,7 +7,7 @@ enough of its tokens are fixed (FIXED_SHARE, and FIXED_TOKENS of them; a line wi
 of recurring templates are dropped, whatever share of a document they are.
 
 With ``by_groups`` (the pipeline's way) lines that only near copies share are left to near-duplicate removal: texts that are recurring
-lines for the most part (over COPY_SHARE of their characters) are compared, and a line counts once for each group of near duplicates. A long line
+lines for the most part (over COPY_SHARE of their characters) are compared by their lines, and a line counts once for each group of copies. A long line
 (LONG_WORDS or LONG_CHARS) that two such groups have as it is stays in the group with the smallest doc_id and goes from the others.
 
 All counts are of distinct texts, so exact copies count once. Lines move as hashes with their numbers; distinct masked lines stand
@@ -22,14 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
-from ._common import hot_lookup, ranked, read_table, stored
+from ._common import hot_lookup, read_table, stored
 
 MIN_DOCS = 5
 LEADING = 3
 FIXED_SHARE = 0.7
 FIXED_TOKENS = 4
 COPY_SHARE = 0.5
+SAME_LINES = 0.6
 #: Lines of so many words, or characters where words aren't spaced, recur from two groups of texts on.
 LONG_WORDS = 25
 LONG_CHARS = 200
@@ -116,14 +116,23 @@ def recurring_pairs(pairs: DataFrame, texts: DataFrame, total: int) -> DataFrame
     return same.unionByName(rest.join(same.select("key"), "key", "left_anti"))
 
 
-def copy_groups(docs: DataFrame, suspects: DataFrame) -> DataFrame:
-    """doc and group: the near-duplicate group of each text (hash) in ``suspects`` that has another member."""
-    # Small numbers in place of hashes, as the components' ids are summed.
-    names = stored(ranked(suspects.withColumn("_all", F.lit(0)), ["_all"], ["doc"], "doc_id").select("doc", "doc_id"), "line-suspect-ids")
-    rows = docs.select(F.xxhash64("text").alias("doc"), "text").join(names, "doc").dropDuplicates(["doc"]).select("doc_id", "text")
-    found = minhash.near_duplicates(stored(rows, "line-suspect-texts")).select("doc_id", F.xxhash64("component_id").alias("group"))
-    found = stored(found.join(names, "doc_id"), "line-groups")
-    return found.join(found.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "group").select("doc", "group")
+def copy_groups(lines: DataFrame, suspects: DataFrame) -> DataFrame:
+    """doc and group: of the texts (hashes) in ``suspects`` those that are copies of another by their lines.
+
+    A line's owner is the least text that has it. A text is a copy of the owner of most of its characters if what they share is SAME_LINES
+    of all their lines' characters together; owners are in their own groups. Pairs of texts aren't made.
+    """
+    own = lines.join(suspects, "doc", "left_semi").groupBy("doc", "key").agg(F.first("size").alias("size"))
+    own = stored(own, "line-suspect-lines")
+    sizes = stored(own.groupBy("doc").agg(F.sum("size").alias("whole")), "line-suspect-sizes")
+    owners = own.groupBy("key").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    met = hot_lookup(own, owners, "key", "docs", own.count()).filter("owner IS NOT NULL")
+    shared = met.groupBy("doc", "owner").agg(F.sum("size").alias("same"))
+    best = shared.groupBy("doc").agg(F.max_by(F.struct("owner", "same"), F.struct("same", "owner")).alias("b")).select("doc", "b.owner", "b.same")
+    best = stored(best.join(sizes, "doc"), "line-suspect-owners")
+    of_owner = best.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).join(sizes.select(F.col("doc").alias("owner"), F.col("whole").alias("owner_whole")), "owner")
+    found = hot_lookup(best, of_owner, "owner", "n", best.count())
+    return found.filter(F.col("same") >= SAME_LINES * (F.col("whole") + F.col("owner_whole") - F.col("same"))).select("doc", F.col("owner").alias("group"))
 
 
 def shared_long_lines(places: DataFrame) -> DataFrame:
@@ -171,7 +180,7 @@ def dedup_lines(docs: DataFrame, by_groups: bool = False) -> DataFrame:
         long = lines.filter("exact IS NOT NULL").select("doc_id", "doc", "at", "size", "exact")
         shared = shared_long_lines(long)
         suspects = stored(suspects.union(shared.select("doc")).distinct(), "line-suspects")
-        groups = stored(copy_groups(docs, suspects), "line-copies")
+        groups = stored(copy_groups(lines.select("doc", "key", "size"), suspects), "line-copies")
         grouped = pairs.join(groups, "doc", "left").withColumn("doc", F.coalesce("group", "doc"))
         grouped = grouped.groupBy("key", "doc").agg(F.sum("n").alias("n"), F.first("leaf").alias("leaf"))
         hit = hits(stored(grouped, "line-group-pairs")).select("doc_id", "doc", "at", "size")
