@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_templates, main_text, minhash, onebit, packing, sharding, token_files, warc
+from . import decontaminate, language, line_templates, main_text, mask_search, minhash, onebit, packing, periodic_runs, sharding, token_files, warc
 
 QUERIES = {
     "op1_onebit_nearest": onebit.op1_onebit_nearest,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language_spans": language.op8_language_spans,
     "op9_token_parquet": token_files.op9_token_parquet,
     "op10_line_templates": line_templates.op10_line_templates,
+    "op11_mask_search": mask_search.op11_mask_search,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op5_bbit_minhash": minhash.ORACLE_SQL,
     "op6_winnowing": decontaminate.ORACLE_SQL,
     "op10_line_templates": line_templates.ORACLE_SQL,
+    "op11_mask_search": mask_search.ORACLE_SQL,
 }
