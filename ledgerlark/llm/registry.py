@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_templates, main_text, mask_search, minhash, onebit, packing, periodic_runs, sharding, token_files, warc
+from . import decontaminate, language, line_templates, main_text, mask_search, minhash, onebit, packing, periodic_runs, sharding, token_files, toxicity, warc
 
 QUERIES = {
     "op1_onebit_nearest": onebit.op1_onebit_nearest,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_templates": line_templates.op10_line_templates,
     "op11_mask_search": mask_search.op11_mask_search,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_weak_toxicity": toxicity.op13_weak_toxicity,
 }
 
 ORACLES = {
