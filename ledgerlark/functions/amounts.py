@@ -104,6 +104,12 @@ def candidate_confidence(top: Column, second: Column) -> Column:
     return F.when(top.isNull(), 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(value, F.lit(0.95))), 2))
 
 
+def validator_confidence(top: Column, rival: Column, n_matches: Column) -> Column:
+    """Of the best score, the weaker side's and the number of matches."""
+    value = 0.3 + 0.45 * (top / (top + rival + 1.0)) + 0.2 * F.least(top / 18.0, F.lit(1.0)) + 0.05 * F.least(n_matches / 3.0, F.lit(1.0))
+    return F.when(F.coalesce(top, F.lit(0.0)) <= 0, 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(value, F.lit(0.95))), 2))
+
+
 def vote_confidence(top: Column, total: Column) -> Column:
     return F.when(total.isNull(), 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(0.35 + 0.60 * top / total, F.lit(0.95))), 2))
 

@@ -57,6 +57,11 @@ SELECT min(p_partkey) AS rule_id, CASE WHEN min(p_partkey) % 6 = 0 THEN NULL ELS
     WHEN 5 THEN 'category' WHEN 6 THEN 'rule_like_allowed' ELSE 'rule_like_disallowed' END AS rule_type,
   min(p_name) AS keyword, min(p_brand) || ' ' || p_type AS body, CASE WHEN p_size % 8 = 2 THEN 0.1 * (1 + min(p_partkey) % 5) END AS limit_pct
 FROM {part} GROUP BY p_type, p_size""",
+    "profiles": """
+SELECT DISTINCT 'CAT_0' || CAST(1 + (ascii(a) * 3 + length(b) * 5 + ascii(b) + n * 4) % 9 AS STRING) AS category_code, kind,
+  CASE n WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN substr(b, 2, 3) WHEN 3 THEN upper(a) WHEN 4 THEN a || ' ' || b ELSE substr(a, 1, 2) END AS term, CASE n WHEN 0 THEN b END AS other
+FROM (SELECT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM {part}) w
+  CROSS JOIN (SELECT 'pair' AS kind, 0 AS n UNION ALL SELECT 'strong', 1 UNION ALL SELECT 'medium', 2 UNION ALL SELECT 'negative', 3 UNION ALL SELECT 'allow', 4 UNION ALL SELECT 'disallow', 5) k""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
