@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR") or "/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from .shared import shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

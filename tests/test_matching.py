@@ -66,22 +66,5 @@ def test_flow(spark):
     sums = matching.same_name_sums(items)
     own = {(r.statement_id, r.norm_name): (r.amount, r.source_count, len(r.source_dates)) for r in sums.collect()}
     assert own == {(1, "helmet"): (3000, 2, 2), (1, "rope"): (500, 1, 1), (2, "net"): (None, 1, 1)}
-    pairs = matching.scored(matching.gated(sums, docs.withColumn("rejected", matching.rejection(F.col("doc_type"), F.col("infer_result"), F.col("n_lines")))))
-    best = {(r.statement_id, r.seq): (r.d_doc_id, r.match_status) for r in matching.best_match(pairs).collect()}
-    assert best[1, 1] == (10, "matched") and best[1, 3][1] == "unmatched" and best[2, 1] == (None, "unmatched")
-    used = matching.exclusive(pairs).collect()
-    assert len({r.doc_id for r in used}) == len(used) == 1
-
-
-def test_exclusive_takes_each_document_once(spark):
-    rows = [(1, 1, 10, 0.9, True), (1, 1, 11, 0.8, True), (1, 2, 10, 1.0, True), (1, 2, 11, 0.7, True), (1, 3, 10, 1.0, True), (2, 1, 10, 0.5, False)]
-    df = spark.createDataFrame(rows, "statement_id long, seq int, d_doc_id long, score double, passed boolean")
-    assert sorted((r.seq, r.doc_id) for r in matching.exclusive(df).collect()) == [(1, 10), (2, 11)]
-    assert sorted((r.seq, r.doc_id) for r in matching.exclusive(df.repartition(7)).collect()) == [(1, 10), (2, 11)]
-
-
-def test_invoices(spark):
-    docs = spark.createDataFrame([(1, 1, "receipt", "A", D(2024, 1, 5), 100), (1, 2, "receipt", "B", D(2024, 1, 5), 100), (1, 3, "receipt", "", D(2024, 1, 5), 200), (1, 4, "wage_statement", "Z", None, 1), (1, 5, "receipt", "A", D(2024, 1, 5), 150)], "statement_id long, doc_id long, doc_type string, vendor string, doc_date date, total long")
-    invoices = spark.createDataFrame([(1, "a", D(2024, 1, 30), 101), (1, "C", D(2024, 1, 1), 200)], "statement_id long, vendor string, invoice_date date, amount long")
-    got = {r.doc_id: (r.tax_invoice_status, r.ti_reason) for r in matching.verified(docs, invoices).collect()}
-    assert got == {1: ("verified", None), 2: ("unverified", "no_invoice_of_vendor"), 3: ("verified", None), 4: ("exempt", None), 5: ("unverified", "gates_failed")}
+    pairs = {(r.statement_id, r.seq, r.d_doc_id): (r.gate_date, r.gate_amount, r.gate_vendor, r.passed) for r in matching.gated(sums, docs).collect()}
+    assert pairs[1, 1, 10] == (True, True, True, True) and pairs[1, 3, 11] == (False, True, True, False) and pairs[2, 1, None][3] is False
