@@ -1,7 +1,7 @@
 """Language identification of mixed texts: script ranges, per-word scores and a Viterbi path with a switching penalty.
 
-The model is naive Bayes over the character n-grams (1 to 3, with word ends) of labelled documents: about PER_LANGUAGE documents of each
-language, all if there are fewer, drawn by a hash. A word's script narrows its candidates to the languages that
+The model is naive Bayes over the character n-grams (1 to 3, with word ends) of labelled documents: about PER_LANGUAGE different texts of each
+language, all if there are fewer, drawn by a hash of the text; equal texts count once. A word's script narrows its candidates to the languages that
 write in it; each word is scored once in a worker. The best path through a text's words pays SWITCH for every change of
 language; its runs are the spans. A text's language is that of most of its letters, and the score their share.
 
@@ -184,14 +184,16 @@ def _held_out(doc_id):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple:
     """Languages, n-gram counts and scripts from labelled documents that aren't held out.
 
-    A language has per_language of them, or all if there are fewer: those whose lot, a hash of id and text, is below per_language over their
-    number. So their number varies about per_language by its square root.
+    A language has per_language different texts of them, or all if there are fewer: those whose lot, a hash of the text, is below per_language over their
+    number. So their number varies about per_language by its square root, and copies neither crowd others out nor share a lot with them. The driver gets
+    the sums by n-gram: at most those of per_language texts for each language.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out(F.col("doc_id"))).select("lang", "doc_id", "text")
-    # A document's lot decides, by itself: no language's documents meet in a task.
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = labelled.join(F.broadcast(counts), "lang").filter(lot < F.lit(float(per_language)) / F.col("_n")).select("doc_id", "lang", "text")
+    # A text's lot decides, by itself: no language's documents meet in a task. Hashes are counted, and only texts of the sample are shuffled.
+    counts = labelled.select("lang", F.xxhash64("text").alias("_h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    lot = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = labelled.join(F.broadcast(counts), "lang").filter(lot < F.lit(float(per_language)) / F.col("_n"))
+    sample = drawn.groupBy("lang", F.md5(F.col("text").cast("binary")).alias("_k")).agg(F.first("text").alias("text")).select("_k", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
