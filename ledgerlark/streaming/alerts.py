@@ -1,6 +1,6 @@
 """Alerts, roll-ups, sessions and latest states over a stream of run events; every function also takes a batch table.
 
-Late rows: the watermark is the window's length, and rows behind it are dropped by Spark.
+Late rows: the watermark is the window's length, and rows behind it are dropped and counted by Spark; in append mode a window's row comes once, when the watermark passes its end.
 """
 
 from __future__ import annotations
@@ -24,16 +24,19 @@ def failure_rates(events: DataFrame, size: str = "10 minutes", slide: str = "1 m
 
 
 def slow_runs(events: DataFrame, size: str = "10 minutes", slide: str = "1 minute") -> DataFrame:
-    """By agent and sliding window: the 95th percentile of seconds, and whether it is over SLOW_SECONDS."""
-    p95 = F.percentile("seconds", 0.95)
-    runs = events.withWatermark("ts", size).groupBy(F.window("ts", size, slide).alias("w"), "agent").agg(p95.alias("p95"))
+    """By agent and sliding window: the 95th percentile of seconds (the value at that rank), and whether it is over SLOW_SECONDS.
+
+    State is a KLL sketch of a fixed size for each window, exact for a few hundred runs and within about a percent of rank beyond; null seconds aren't runs.
+    """
+    runs = events.filter("seconds IS NOT NULL").withWatermark("ts", size).groupBy(F.window("ts", size, slide).alias("w"), "agent").agg(F.kll_sketch_agg_double("seconds").alias("sketch"))
+    runs = runs.withColumn("p95", F.kll_sketch_get_quantile_double("sketch", F.lit(0.95)))
     return runs.select(F.col("w.start").alias("window_start"), "agent", "p95", (F.col("p95") > SLOW_SECONDS).alias("alert"))
 
 
 def search_failures(events: DataFrame, size: str = "10 minutes", slide: str = "1 minute") -> DataFrame:
-    """Sliding windows with at least SEARCH_FAILURES failures of an agent."""
-    out = failure_rates(events, size, slide)
-    return out.filter(F.col("failures") >= SEARCH_FAILURES).select("window_start", "agent", "failures")
+    """Sliding windows with at least SEARCH_FAILURES failures, whoever searched (ts, failed)."""
+    out = events.withWatermark("ts", size).groupBy(F.window("ts", size, slide).alias("w")).agg(F.count_if("failed").alias("failures"))
+    return out.filter(F.col("failures") >= SEARCH_FAILURES).select(F.col("w.start").alias("window_start"), "failures")
 
 
 def rollups(events: DataFrame, size: str = "1 hour") -> DataFrame:
@@ -48,15 +51,71 @@ def latest_states(events: DataFrame) -> DataFrame:
     return last.select("statement_id", "agent", F.col("l.state").alias("state"), F.col("l.log_id").alias("log_id"))
 
 
-def sessions(events: DataFrame, idle: str = "7 days") -> DataFrame:
-    """Sessions of a user that end after being idle: start, end and messages."""
-    out = events.withWatermark("ts", idle).groupBy(F.session_window("ts", idle).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("messages"))
-    return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "messages")
+def newest(states: DataFrame) -> DataFrame:
+    """Of rows statement_id, agent, ts, log_id and state the newest of each (statement, agent), by time, then log_id: what batches are merged by."""
+    last = states.groupBy("statement_id", "agent").agg(F.max(F.struct("ts", "log_id", "state")).alias("l"))
+    return last.select("statement_id", "agent", "l.ts", "l.log_id", "l.state")
+
+
+def sessions(events: DataFrame, idle_minutes: int = 7 * 24 * 60, keep: int = 20, delay: str = "10 minutes") -> DataFrame:
+    """Sessions of a user that expire after so many idle minutes, which each message renews: start, end (the expiry), messages and the ids of the last ``keep`` (user_id, ts, event_id). For streams.
+
+    State is a row for each open session; it goes when the watermark passes the expiry. A null user's messages are one user's.
+    """
+
+    def row(user, s) -> dict:
+        return {"user_id": user, "session_start": pd.Timestamp(s[0], unit="us"), "session_end": pd.Timestamp(s[1], unit="us") + pd.Timedelta(minutes=idle_minutes), "messages": s[2], "last_ids": list(s[3])}
+
+    columns = ["user_id", "session_start", "session_end", "messages", "last_ids"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = list(state.get) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([row(key[0], open_)], columns=columns)
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out, gap = [], idle_minutes * 60_000_000
+        for ts, event in zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), strict=True):
+            if open_ is not None and ts >= open_[1] + gap:
+                out.append(row(key[0], open_))
+                open_ = None
+            if open_ is None:
+                open_ = [ts, ts, 0, []]
+            open_ = [min(open_[0], ts), max(open_[1], ts), open_[2] + 1, [*open_[3], event][-keep:]]
+        state.update(tuple(open_))
+        state.setTimeoutTimestamp(max((open_[1] + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    keyed = events.withWatermark("ts", delay).groupBy("user_id")
+    schema = "user_id long, session_start timestamp, session_end timestamp, messages long, last_ids array<long>"
+    return keyed.applyInPandasWithState(step, schema, "first long, last long, n long, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def first_requests(events: DataFrame, busy_minutes: int = 10, delay: str = "10 minutes") -> DataFrame:
+    """Requests (user_id, ts, event_id) without those that come while their session is busy with one, so many minutes from that one on. For streams.
 
-def first_requests(events: DataFrame, keys: list[str], within: str = "10 minutes") -> DataFrame:
-    """Requests without those that repeat a session's while it is busy. For streams."""
-    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
+    State is the end of that time for each session; it goes when the watermark passes it.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        taken = []
+        for ts in rows["ts"].astype("datetime64[us]").astype("int64").tolist():
+            taken.append(until is None or ts >= until)
+            if taken[-1]:
+                until = ts + busy_minutes * 60_000_000
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[taken, ["user_id", "ts", "event_id"]]
+
+    keyed = events.withWatermark("ts", delay).groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "user_id long, ts timestamp, event_id long", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stuck_runs(events: DataFrame, minutes: int = STUCK_MINUTES) -> DataFrame:
