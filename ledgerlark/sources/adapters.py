@@ -62,6 +62,33 @@ SELECT DISTINCT 'CAT_0' || CAST(1 + (ascii(a) * 3 + length(b) * 5 + ascii(b) + n
   CASE n WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN substr(b, 2, 3) WHEN 3 THEN upper(a) WHEN 4 THEN a || ' ' || b ELSE substr(a, 1, 2) END AS term, CASE n WHEN 0 THEN b END AS other
 FROM (SELECT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM {part}) w
   CROSS JOIN (SELECT 'pair' AS kind, 0 AS n UNION ALL SELECT 'strong', 1 UNION ALL SELECT 'medium', 2 UNION ALL SELECT 'negative', 3 UNION ALL SELECT 'allow', 4 UNION ALL SELECT 'disallow', 5) k""",
+    "raw_items": f"""
+SELECT statement_id, seq, CASE seq % 5
+  WHEN 0 THEN '{{{{"used_on": ' || coalesce('"' || CAST(used_on AS STRING) || '"', 'null') || ', "total_amount": ' || coalesce(CAST(amount AS STRING), 'null') || ', "item_name": "' || item_name || '", "category_code": "' || category_code || '", "remark": "' || remark || '"}}}}'
+  WHEN 1 THEN '{{{{"date": ' || coalesce('"' || CAST(used_on AS STRING) || '"', 'null') || ', "amount": ' || coalesce(CAST(amount AS STRING), 'null') || ', "description": "' || item_name || '", "category": "' || category_code || '", "vendor": "' || vendor || '"}}}}'
+  WHEN 2 THEN '{{{{"사용일자": ' || coalesce('"' || CAST(used_on AS STRING) || '"', 'null') || ', "금액": ' || coalesce(CAST(amount AS STRING), 'null') || ', "사용내역": "' || item_name || '", "항목명": "' || category_code || '", "추가정보": {{{{"업체명": "", "교육주관": "' || vendor || '"}}}}}}}}'
+  WHEN 3 THEN '{{{{"사용내역": "' || item_name || '", "추가정보": {{{{"업체명": "' || vendor || '"}}}}}}}}'
+  ELSE 'note ' || item_name END AS raw
+FROM (SELECT l_orderkey AS statement_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE}) AS INT) AS seq, 'CAT_0' || CAST(1 + p_partkey % 9 AS STRING) AS category_code, p_name AS item_name,
+  CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS amount, CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS used_on,
+  CASE WHEN l_linenumber = 6 THEN '' ELSE s_name END AS vendor, 'note ' || l_returnflag || '| vendor: ' || s_name || ' | flag: ' || l_linestatus AS remark
+  FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey) i""",
+    "raw_docs": """
+SELECT statement_id, doc_id, CASE doc_id % 4 WHEN 0 THEN 'wage_statement' WHEN 1 THEN 'delivery_statement' WHEN 2 THEN 'transaction' ELSE 'receipt' END AS kind, CASE doc_id % 4
+  WHEN 0 THEN '{{"vendor": "' || vendor || '", "date": "' || on_day || '", "total_amount": ' || total || ', "items": [{{"item_name": "", "name": "' || one || '", "amount": ' || total || '}}, {{"item_name": "' || two || '", "amount": null}}], "validation": {{"is_valid": ' || valid || ', "warnings": ["w' || total || '"]}}}}'
+  WHEN 1 THEN '{{"supplier": {{"company_name": "' || vendor || '"}}, "store": {{"name": "other"}}, "issue_date": "' || on_day || '", "total_amount": ' || total || ', "items": [{{"item_name": "' || one || '", "supply_amount": ' || total || ', "tax_amount": 10, "count": 0, "quantity": 3}}, {{"name": "' || two || '", "tax_amount": 5}}], "infer_result": ""}}'
+  WHEN 2 THEN '{{"supplier": {{"company_name": ""}}, "store": {{"name": "' || vendor || '"}}, "payment": {{"date": "' || on_day || '"}}, "total_amount": null, "items": [], "validation": {{"has_required_fields": ' || valid || '}}}}'
+  ELSE '{{"store": {{"name": "' || vendor || '"}}, "payment": {{"date": "' || on_day || '"}}, "total_amount": ' || total || ', "items": [{{"name": "' || one || '", "count": 2, "amount": ' || total || '}}], "validation": {{"has_required_fields": ' || valid || ', "warnings": ["a"], "errors": ["b"]}}' || CASE WHEN doc_id % 3 = 0 THEN ', "infer_result": "SUCCESS"' ELSE '' END || '}}' END AS raw
+FROM (SELECT l_orderkey AS statement_id, l_suppkey AS doc_id, s_name AS vendor, CAST(max(CAST(l_shipdate AS DATE)) AS STRING) AS on_day, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS STRING) AS total, min(p_name) AS one, max(p_name) AS two,
+  CASE WHEN l_orderkey % 3 = 0 THEN 'true' ELSE 'false' END AS valid FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY l_orderkey, l_suppkey, s_name) d""",
+    "law_texts": """
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'CAT_0' || CAST(doc_id % 10 AS STRING) END AS category_code,
+  CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '제' || CAST(n_chars % 130 AS STRING) || '조제2항' WHEN 2 THEN '제4조제2호 | 제' || CAST(n_chars % 130 AS STRING) || '조|별표 2' WHEN 3 THEN ' 제' || CAST(n_chars % 130 AS STRING) || '조 ' WHEN 4 THEN 'other basis' ELSE '' END AS legal_basis,
+  CASE doc_id % 7 WHEN 0 THEN '산업안전보건법 시행규칙 제' || CAST(n_chars % 130 AS STRING) || '조제2항 및 제98조, 제' || CAST(doc_id % 130 AS STRING) || '조' WHEN 1 THEN '제17조와 제17조, 제' || CAST(doc_id % 130 AS STRING) || '조제1항제2호 (별표 ' || CAST(doc_id % 5 AS STRING) || ')'
+    WHEN 2 THEN '건설업 산업안전보건관리비 계상 및 사용기준 제7조제1항제' || CAST(doc_id % 10 AS STRING) || '호' WHEN 3 THEN '(제' || CAST(n_chars % 90 AS STRING) || '조) 건설기술 진흥법제62조' WHEN 4 THEN 'no law ' || source
+    WHEN 5 THEN '응급의료에 관한 법률 제47조 / 중대재해 처벌 등에 관한 법률 시행령 제4조제2호' ELSE '' END AS body,
+  '제' || CAST(doc_id % 70 AS STRING) || '조제1항;별표 ' || CAST(n_chars % 5 AS STRING) || ';제62조;제2조제3항;제98조;제4조제' || CAST(doc_id % 3 AS STRING) || '호;별표 3;제' || CAST(n_chars % 70 AS STRING) || '조제1항;제17조' AS cited
+FROM {documents}""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
