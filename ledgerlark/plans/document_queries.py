@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import laws, layouts
+from ..operators import laws, layouts, reviews
 from ..sources.adapters import adapted, oracle_with
 
 
@@ -35,7 +35,30 @@ def f33_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", laws.item_reason(F.col("body"), laws.rule_laws(F.col("legal_basis"), F.lit(""), F.col("category_code"))).alias("reason"))
 
 
-QUERIES = {"p1_item_layouts": p1_item_layouts, "p11_document_layouts": p11_document_layouts, "f18_rule_laws": f18_rule_laws, "o8_law_order": o8_law_order, "f33_reasons": f33_reasons}
+def _checked(spark: SparkSession, sf: str):
+    """Items of statements with logs, and their classifications, judgements, logs and requirements."""
+    checks, logs = adapted(spark, sf, "item_checks"), adapted(spark, sf, "item_logs")
+    items = checks.join(logs.select("statement_id").distinct(), "statement_id", "left_semi")
+    classified = checks.select(*_KEYS, F.col("class_status").alias("status"), F.col("class_reason").alias("reason"))
+    judged = checks.filter("law_status IS NOT NULL").select(*_KEYS, F.col("law_status").alias("status"), F.col("law_reason").alias("reason"), F.array_compact(F.array("cited")).alias("citations"))
+    needed = adapted(spark, sf, "requirements").withColumn("satisfied", F.col("seq") % 2 == 0)
+    return items.select(*_KEYS), classified, judged, logs, needed
+
+
+_KEYS = ["statement_id", "seq"]
+
+
+def a10_item_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    items, classified, judged, logs, needed = _checked(spark, sf)
+    return reviews.item_reviews(items, _KEYS, classified, judged, logs, needed)
+
+
+def d9_issues(spark: SparkSession, sf: str) -> DataFrame:
+    items, classified, judged, logs, needed = _checked(spark, sf)
+    return reviews.issues(reviews.item_reviews(items, _KEYS, classified, judged, logs, needed), _KEYS, classified, judged, logs)
+
+
+QUERIES = {"a10_item_reviews": a10_item_reviews, "d9_issues": d9_issues, "p1_item_layouts": p1_item_layouts, "p11_document_layouts": p11_document_layouts, "f18_rule_laws": f18_rule_laws, "o8_law_order": o8_law_order, "f33_reasons": f33_reasons}
 
 _TABLE = "(VALUES " + ", ".join(f"('{a}', '{full}')" for a, full in laws.FULL_NAMES.items()) + ") t(article, full_name)"
 _FULL = """coalesce(map_extract(nm, trim({0}))[1], map_extract(nm, regexp_extract(trim({0}), '^(제[0-9]+조)', 1))[1] || substr(trim({0}), length(regexp_extract(trim({0}), '^(제[0-9]+조)', 1)) + 1), trim({0}))"""
@@ -47,7 +70,24 @@ a AS (SELECT doc_id, category_code, body, nm, CASE WHEN trim(coalesce(legal_basi
 b AS (SELECT *, list_filter(list_concat(basis, named), lambda x, i: list_position(list_concat(basis, named), x) = i) AS start FROM a),
 c AS (SELECT *, list_reduce(list_concat([start], list_transform(bare, lambda x: [x])), lambda acc, x: CASE WHEN list_contains(acc, {_FULL.format('x[1]')}) OR len(list_filter(acc, lambda l: contains(l, x[1]))) > 0 THEN acc ELSE list_append(acc, {_FULL.format('x[1]')}) END) AS found FROM b)"""
 
+_REVIEWS = f"""{oracle_with('item_checks', 'item_logs', 'requirements')}, x AS (SELECT * FROM item_checks WHERE statement_id IN (SELECT statement_id FROM item_logs)),
+lg AS (SELECT *, CASE lower(trim(result_code)) WHEN 'fail' THEN 2 WHEN 'hil' THEN 1 WHEN 'warning' THEN 1 END AS lv, coalesce(nullif(details->>'$.summary', ''), nullif(details->>'$.reason', '')) AS said FROM item_logs),
+lf AS (SELECT statement_id, seq, max(lv) AS lv, first(said ORDER BY created_at, log_id) FILTER (WHERE lv > 0 AND said IS NOT NULL) AS said FROM lg GROUP BY ALL),
+mi AS (SELECT statement_id, seq, string_agg(DISTINCT evidence_type, ', ' ORDER BY evidence_type) AS gone FROM requirements WHERE seq % 2 <> 0 GROUP BY ALL),
+rv AS (SELECT x.*, lf.said, gone, greatest(CASE WHEN class_status = '검토필요' THEN 1 ELSE 0 END, CASE law_status WHEN 'fail' THEN 2 WHEN 'conditional' THEN 1 WHEN 'odd word' THEN 1 ELSE 0 END, coalesce(lf.lv, 0)) AS w0,
+  CASE WHEN class_status = '카테고리변경' THEN coalesce(nullif(class_reason, ''), '{reviews.CHANGED_REASON}') END AS moved, CASE WHEN law_status IS NOT NULL THEN law_reason END AS law FROM x LEFT JOIN lf USING (statement_id, seq) LEFT JOIN mi USING (statement_id, seq)),
+rw AS (SELECT *, CASE WHEN gone IS NOT NULL AND w0 < 2 THEN 1 ELSE w0 END AS w, CASE WHEN gone IS NOT NULL AND w0 < 2 THEN '{reviews.MISSING_REASON}' || gone END AS lack FROM rv),
+fr AS (SELECT statement_id, seq, ['appropriate', 'needs_review', 'inappropriate'][w + 1] AS decision, ['low', 'medium', 'high'][w + 1] AS risk_level,
+  coalesce(CASE WHEN w > 0 THEN coalesce(CASE WHEN law_status <> 'ok' THEN law END, said, lack) END, moved, law, said, '{reviews.NOTHING_REASON}') AS summary_reason FROM rw)"""
+
 ORACLES = {
+    "a10_item_reviews": f"WITH {_REVIEWS} SELECT statement_id, seq, decision, risk_level, summary_reason FROM fr",
+    "d9_issues": f"""WITH {_REVIEWS}, dl AS (SELECT *, coalesce(nullif(details->>'$.legal_basis', ''), nullif(details->>'$.basis', '')) AS basis, details->>'$.action' AS action, coalesce(nullif(details->>'$.problem', ''), nullif(details->>'$.reason', '')) AS problem, details->>'$.sources[0]."조항"' AS src FROM item_logs),
+dg AS (SELECT statement_id, seq, first(basis ORDER BY created_at, log_id) FILTER (WHERE basis IS NOT NULL) AS basis, first(action ORDER BY created_at, log_id) FILTER (WHERE action IS NOT NULL) AS action, first(problem ORDER BY created_at, log_id) FILTER (WHERE problem IS NOT NULL) AS problem,
+  list(src ORDER BY created_at, log_id) FILTER (WHERE src IS NOT NULL) AS srcs FROM dl GROUP BY ALL)
+SELECT fr.statement_id, fr.seq, decision AS issue_type, coalesce(nullif(law, ''), nullif(class_reason, ''), problem, summary_reason) AS problem,
+  coalesce(CASE WHEN law_status IS NOT NULL THEN cited END, nullif(array_to_string(list_filter(srcs, lambda s, i: list_position(srcs, s) = i), ', '), ''), basis, '{reviews.NO_BASIS}') AS legal_basis, action AS required_action
+FROM fr JOIN rw USING (statement_id, seq) LEFT JOIN dg USING (statement_id, seq) WHERE decision <> 'appropriate'""",
     "p1_item_layouts": f"""WITH {oracle_with('raw_items')}, j AS (SELECT statement_id, seq, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM raw_items),
 k AS (SELECT *, CASE WHEN j IS NULL THEN NULL WHEN json_exists(j, '$.used_on') THEN 'v3' WHEN json_exists(j, '$.date') OR json_exists(j, '$.amount') OR json_exists(j, '$.description') THEN 'plain' ELSE 'korean' END AS layout FROM j)
 SELECT statement_id, seq, layout, CASE WHEN layout IS NOT NULL THEN coalesce(CASE layout WHEN 'v3' THEN j->>'$.used_on' WHEN 'plain' THEN j->>'$.date' ELSE j->>'$."사용일자"' END, '') END AS used_on,

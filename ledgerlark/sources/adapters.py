@@ -89,6 +89,16 @@ SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'CAT_0' || CAST(doc_id %
     WHEN 5 THEN '응급의료에 관한 법률 제47조 / 중대재해 처벌 등에 관한 법률 시행령 제4조제2호' ELSE '' END AS body,
   '제' || CAST(doc_id % 70 AS STRING) || '조제1항;별표 ' || CAST(n_chars % 5 AS STRING) || ';제62조;제2조제3항;제98조;제4조제' || CAST(doc_id % 3 AS STRING) || '호;별표 3;제' || CAST(n_chars % 70 AS STRING) || '조제1항;제17조' AS cited
 FROM {documents}""",
+    "item_checks": f"""
+SELECT statement_id, seq, CASE (statement_id + seq) % 5 WHEN 0 THEN '검토필요' WHEN 1 THEN '카테고리변경' ELSE '유지' END AS class_status, CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN '' ELSE 'class ' || CAST(seq AS STRING) END AS class_reason,
+  CASE (statement_id * 3 + seq) % 7 WHEN 0 THEN 'fail' WHEN 1 THEN 'conditional' WHEN 2 THEN NULL WHEN 3 THEN 'odd word' ELSE 'ok' END AS law_status, CASE WHEN seq % 4 = 0 THEN NULL ELSE 'law ' || CAST(statement_id AS STRING) END AS law_reason,
+  CASE WHEN seq % 2 = 0 THEN '제' || CAST(statement_id % 9 AS STRING) || '조' END AS cited
+FROM (SELECT l_orderkey AS statement_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE}) AS INT) AS seq FROM {{lineitem}}) i""",
+    "item_logs": """
+SELECT event_id AS log_id, user_id % 500 AS statement_id, CAST(1 + event_id % 5 AS INT) AS seq, ts AS created_at, CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'HIL ' WHEN 'view' THEN 'success' WHEN 'signup' THEN 'warning' ELSE 'odd' END AS result_code,
+  CASE event_id % 4 WHEN 0 THEN '{{"summary": "s' || CAST(event_id AS STRING) || '", "basis": "b"}}' WHEN 1 THEN '{{"summary": "", "reason": "r' || CAST(event_id AS STRING) || '", "action": "a' || CAST(event_id AS STRING) || '"}}'
+    WHEN 2 THEN '{{"problem": "p", "sources": [{{"조항": "제' || CAST(event_id % 7 AS STRING) || '조"}}, {{"legal_basis": ""}}]}}' ELSE '{{}}' END AS details
+FROM {events}""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
