@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import laws, layouts, reviews
-from ..sources.adapters import adapted, oracle_with
+from ..operators import invoices, laws, layouts, merges, reviews
+from ..sources.adapters import adapted, oracle_with, read
+from ..sources.shared import stored
 
 
 def p1_item_layouts(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +20,10 @@ def p11_document_layouts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("statement_id", "doc_id", "doc_type", "infer_result", "vendor", "date", "total_amount", shown.alias("lines"), "is_valid", F.array_join("warnings", ",").alias("warnings"))
 
 
+def f15_invoice_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return invoices.invoice_fields(adapted(spark, sf, "invoice_texts"))
+
+
 def f18_rule_laws(spark: SparkSession, sf: str) -> DataFrame:
     return adapted(spark, sf, "law_texts").select("doc_id", F.array_join(laws.rule_laws(F.col("legal_basis"), F.col("body"), F.col("category_code")), " ; ").alias("laws"))
 
@@ -58,7 +63,37 @@ def d9_issues(spark: SparkSession, sf: str) -> DataFrame:
     return reviews.issues(reviews.item_reviews(items, _KEYS, classified, judged, logs, needed), _KEYS, classified, judged, logs)
 
 
-QUERIES = {"a10_item_reviews": a10_item_reviews, "d9_issues": d9_issues, "p1_item_layouts": p1_item_layouts, "p11_document_layouts": p11_document_layouts, "f18_rule_laws": f18_rule_laws, "o8_law_order": o8_law_order, "f33_reasons": f33_reasons}
+def _two_runs(rows: DataFrame, keys: list[str], rules: dict[str, str], order: list[str], run: str) -> DataFrame:
+    """The changes of two runs that merge rows of run 1 and 2 into an empty table."""
+    columns = [*keys, *rules]
+    first = stored(merges.changes(rows.select(columns).limit(0), rows.filter(F.col(run) == 1), keys, rules, order, 1), "merge-1")
+    second = merges.changes(merges.replayed(first, keys), rows.filter(F.col(run) == 2), keys, rules, order, 2)
+    return first.unionByName(stored(second, "merge-2"))
+
+
+def s9_agent_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each agent of a statement, after two runs: the last result, the last known tokens, their sum, and the first log."""
+    rows = adapted(spark, sf, "logs").select("statement_id", "agent", "updated_at", "log_id", "result_code", "status_code", F.col("tokens").alias("token_current"), F.col("tokens").alias("token_cumulative"), F.col("log_id").alias("first_log"), (2 - F.col("log_id") % 2).alias("run"))
+    rules = {"result_code": "set", "status_code": "set", "token_current": "fill", "token_cumulative": "add", "first_log": "keep"}
+    return merges.replayed(_two_runs(rows, ["statement_id", "agent"], rules, ["updated_at", "log_id"], "run"), ["statement_id", "agent"])
+
+
+def s7_touched_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """A statement of a known project only touches the one that is there."""
+    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("statement_id"), F.col("o_orderdate").cast("date").cast("string").alias("touched"), (1 + F.col("o_orderkey") % 2).alias("run"))
+    log = _two_runs(rows.withColumn("at", F.col("statement_id")), ["project_id"], {"statement_id": "keep", "touched": "set"}, ["at"], "run")
+    return log.select("run", "project_id", "change", F.col("before.touched").alias("was"), F.col("after.touched").alias("touched"), F.col("after.statement_id").alias("statement_id"))
+
+
+def r9_refresh_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of a refresh of the corpus by a whole snapshot."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("body"))
+    changed = docs.filter("id % 11 <> 0").withColumn("body", F.when(F.col("id") % 5 == 0, F.sha2(F.col("body").cast("binary"), 256)).otherwise(F.col("body")))
+    log = merges.changes(docs.filter("id % 7 <> 0"), changed, ["id"], {"body": "set"}, ["body"], 7, snapshot=True)
+    return log.select("run", "id", "change", F.col("before.body").alias("previous"), F.col("after.body").alias("new"))
+
+
+QUERIES = {"f15_invoice_fields": f15_invoice_fields, "s9_agent_logs": s9_agent_logs, "s7_touched_statements": s7_touched_statements, "r9_refresh_log": r9_refresh_log, "a10_item_reviews": a10_item_reviews, "d9_issues": d9_issues, "p1_item_layouts": p1_item_layouts, "p11_document_layouts": p11_document_layouts, "f18_rule_laws": f18_rule_laws, "o8_law_order": o8_law_order, "f33_reasons": f33_reasons}
 
 _TABLE = "(VALUES " + ", ".join(f"('{a}', '{full}')" for a, full in laws.FULL_NAMES.items()) + ") t(article, full_name)"
 _FULL = """coalesce(map_extract(nm, trim({0}))[1], map_extract(nm, regexp_extract(trim({0}), '^(제[0-9]+조)', 1))[1] || substr(trim({0}), length(regexp_extract(trim({0}), '^(제[0-9]+조)', 1)) + 1), trim({0}))"""
@@ -80,7 +115,41 @@ rw AS (SELECT *, CASE WHEN gone IS NOT NULL AND w0 < 2 THEN 1 ELSE w0 END AS w,
 fr AS (SELECT statement_id, seq, ['appropriate', 'needs_review', 'inappropriate'][w + 1] AS decision, ['low', 'medium', 'high'][w + 1] AS risk_level,
   coalesce(CASE WHEN w > 0 THEN coalesce(CASE WHEN law_status <> 'ok' THEN law END, said, lack) END, moved, law, said, '{reviews.NOTHING_REASON}') AS summary_reason FROM rw)"""
 
+_PLAIN = r"'(?s)^.*?([0-9]{4})[.\-/년] *([0-9]{1,2})[.\-/월] *([0-9]{1,2}).*$'"
+
+
+def _labelled(label: str) -> str:
+    found = f"nullif(regexp_extract(t, '{label}[\\s]*[：:\\s][\\s]*([0-9]{{4}}[.\\-/년][\\s]*[0-9]{{1,2}}[.\\-/월][\\s]*[0-9]{{1,2}}일?)', 1), '')"
+    return f"try_cast(regexp_replace({found}, {_PLAIN}, '\\1-\\2-\\3') AS DATE)"
+
+
+def _number(labels: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(try_cast(replace(regexp_extract(t, '{x}[\\s]*[：:\\s]?[\\s]*([0-9,]+)', 1), ',', '') AS BIGINT), 0)" for x in labels) + ")"
+
+
+def _party(labels: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{x}.{{0,30}}상호[\\s]*[：:\\s][\\s]*([^\\s,;|]+(?:[\\s][^\\s,;|]+){{0,3}})', 1), '')" for x in labels) + ")"
+
+
+def _below(labels: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"ls[list_filter(range(1, len(ls)), lambda i: contains(ls[i], '{x}') AND NOT regexp_matches(ls[i + 1], '^[0-9]'))[1] + 1]" for x in labels) + ")"
+
+
 ORACLES = {
+    "f15_invoice_fields": f"""WITH {oracle_with('invoice_texts')}, l AS (SELECT statement_id, invoice_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM invoice_texts), j AS (SELECT *, array_to_string(ls, ' ') AS t FROM l),
+n AS (SELECT *, list_transform(regexp_extract_all(t, '\\b[0-9]{{3}}[-\\s]?[0-9]{{2}}[-\\s]?[0-9]{{5}}\\b'), lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^(...)(..)(.....)$', '\\1-\\2-\\3')) AS nums FROM j),
+m AS (SELECT *, {_number(invoices.AMOUNT_LABELS['supply'])} AS supply_amount, {_number(invoices.AMOUNT_LABELS['tax'])} AS tax_amount, {_number(invoices.AMOUNT_LABELS['total'])} AS total FROM n)
+SELECT statement_id, invoice_id, substr(coalesce({_party(invoices.SUPPLIER_LABELS)}, {_below(invoices.SUPPLIER_LABELS)}), 1, 30) AS supplier, nums[1] AS supplier_number, nullif(regexp_extract(t, '대표자?[\\s]*[：:\\s][\\s]*([가-힣]{{2,5}}(?:[\\s][가-힣]{{1,5}})?)', 1), '') AS representative,
+  {_party(invoices.BUYER_LABELS)} AS buyer, nums[2] AS buyer_number, coalesce({", ".join(_labelled(x) for x in invoices.DATE_LABELS)}, try_cast(regexp_replace(nullif(regexp_extract(t, '([0-9]{{4}}[.\\-/][0-9]{{2}}[.\\-/][0-9]{{2}})', 1), ''), '[./]', '-', 'g') AS DATE)) AS issue_date,
+  supply_amount, tax_amount, coalesce(total, supply_amount + tax_amount) AS total_amount FROM m""",
+    "s9_agent_logs": f"""WITH {oracle_with('logs')}, o AS (SELECT *, row_number() OVER (PARTITION BY statement_id, agent ORDER BY 2 - log_id % 2, updated_at, log_id) AS k FROM logs)
+SELECT statement_id, agent, arg_max(result_code, k) AS result_code, arg_max(status_code, k) AS status_code, arg_max(tokens, k) FILTER (WHERE tokens IS NOT NULL) AS token_current, CAST(sum(tokens) AS BIGINT) AS token_cumulative, arg_min(log_id, k) AS first_log FROM o GROUP BY statement_id, agent""",
+    "s7_touched_statements": """WITH r AS (SELECT o_custkey AS project_id, o_orderkey AS statement_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS touched, 1 + o_orderkey % 2 AS run FROM orders),
+g AS (SELECT project_id, run, arg_min(statement_id, statement_id) AS first, arg_max(touched, statement_id) AS touched FROM r GROUP BY ALL),
+h AS (SELECT b.run, b.project_id, CASE WHEN a.run IS NULL THEN 'inserted' ELSE 'updated' END AS change, a.touched AS was, b.touched, coalesce(a.first, b.first) AS statement_id FROM g b LEFT JOIN g a ON a.project_id = b.project_id AND a.run = 1 AND b.run = 2)
+SELECT CAST(run AS BIGINT) AS run, project_id, change, was, touched, statement_id FROM h WHERE was IS NULL OR was <> touched""",
+    "r9_refresh_log": """WITH d AS (SELECT doc_id AS id, sha256(text) AS h FROM documents), a AS (SELECT * FROM d WHERE id % 7 <> 0), b AS (SELECT id, CASE WHEN id % 5 = 0 THEN sha256(h) ELSE h END AS h FROM d WHERE id % 11 <> 0)
+SELECT 7::BIGINT AS run, id, CASE WHEN a.h IS NULL THEN 'inserted' WHEN b.h IS NULL THEN 'deleted' ELSE 'updated' END AS change, a.h AS previous, b.h AS new FROM a FULL JOIN b USING (id) WHERE a.h IS DISTINCT FROM b.h""",
     "a10_item_reviews": f"WITH {_REVIEWS} SELECT statement_id, seq, decision, risk_level, summary_reason FROM fr",
     "d9_issues": f"""WITH {_REVIEWS}, dl AS (SELECT *, coalesce(nullif(details->>'$.legal_basis', ''), nullif(details->>'$.basis', '')) AS basis, details->>'$.action' AS action, coalesce(nullif(details->>'$.problem', ''), nullif(details->>'$.reason', '')) AS problem, details->>'$.sources[0]."조항"' AS src FROM item_logs),
 dg AS (SELECT statement_id, seq, first(basis ORDER BY created_at, log_id) FILTER (WHERE basis IS NOT NULL) AS basis, first(action ORDER BY created_at, log_id) FILTER (WHERE action IS NOT NULL) AS action, first(problem ORDER BY created_at, log_id) FILTER (WHERE problem IS NOT NULL) AS problem,

@@ -99,6 +99,14 @@ SELECT event_id AS log_id, user_id % 500 AS statement_id, CAST(1 + event_id % 5
   CASE event_id % 4 WHEN 0 THEN '{{"summary": "s' || CAST(event_id AS STRING) || '", "basis": "b"}}' WHEN 1 THEN '{{"summary": "", "reason": "r' || CAST(event_id AS STRING) || '", "action": "a' || CAST(event_id AS STRING) || '"}}'
     WHEN 2 THEN '{{"problem": "p", "sources": [{{"조항": "제' || CAST(event_id % 7 AS STRING) || '조"}}, {{"legal_basis": ""}}]}}' ELSE '{{}}' END AS details
 FROM {events}""",
+    "invoice_texts": """
+SELECT statement_id, invoice_id, CASE k WHEN 0 THEN '전자세금계산서' || nl || '공급자 등록번호 ' || num || ' 상호: ' || vendor || ', 대표자: 김철수, ' || nl || '공급받는자 987 65 43210 상호 : ' || buyer || ' | 작성일자: ' || on_day || nl || '공급가액 ' || net || ' 세액: ' || tax || nl || '합계금액 ' || total
+  WHEN 1 THEN '판매자' || nl || '  ' || vendor || ' ' || nl || '작성일 2024.13.40 거래일자 ' || on_day || nl || '공급가액합계 0 공급가액 ' || net || nl || '세액 ' || tax
+  WHEN 2 THEN '공급자' || nl || '123 street' || nl || '발행자' || nl || vendor || nl || on_day || ' and ' || num || ' 총액 ' || total
+  WHEN 3 THEN nl || 'no field ' || vendor ELSE '매입자 상호 ' || buyer || ', 발행일 ' || on_day || ' 청구금액 , 합계 ' || total END AS text
+FROM (SELECT l_orderkey AS statement_id, l_suppkey AS invoice_id, (l_orderkey + l_suppkey) % 5 AS k, s_name AS vendor, 'Buyer ' || CAST(l_orderkey AS STRING) AS buyer, chr(10) AS nl, CAST(max(CAST(l_shipdate AS DATE)) AS STRING) AS on_day,
+  CAST(1000000000 + l_orderkey * 1000 + l_suppkey AS STRING) AS num, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS STRING) AS net, CAST(l_suppkey AS STRING) AS tax, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) + l_suppkey AS STRING) AS total
+  FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY l_orderkey, l_suppkey, s_name) t""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
