@@ -40,6 +40,8 @@ SAMPLE = 20_000
 CANDIDATES = 1000
 TERMS = 128
 COVER = 3
+#: Share of a term's toxic documents that other terms must cover twice to make it dispensable, if clean ones hold it too.
+ENOUGH = 0.95
 #: A candidate's least likelihood ratio (G²), least labelled toxic documents and least share of toxic ones among those that hold it (classes as drawn).
 LEAST_G2, LEAST_TOXIC, LEAST_SHARE = 25.0, 4, 0.8
 ROUNDS = 12
@@ -147,17 +149,33 @@ def _candidates(rows: DataFrame, toxic: int, clean: int) -> tuple[list[str], lis
     return [r["term"] for r in found if r["good"]][:CANDIDATES], refuted
 
 
-def chosen(held: list[set[int]], toxic: list[int], n_terms: int, most: int = TERMS, cover: int = COVER, least: int = LEAST_TOXIC) -> list[int]:
-    """Terms one by one, each that with the most toxic documents not yet holding ``cover`` of those taken, less half its clean ones; ties go to the earlier candidate."""
+def chosen(held: list[set[int]], toxic: list[int], n_terms: int, totals: tuple[int, int], most: int = TERMS, cover: int = COVER, least: int = LEAST_TOXIC) -> list[int]:
+    """Terms one by one, each that with the most toxic documents not yet holding ``cover`` of those taken, less half its clean ones; ties go to the earlier candidate.
+
+    Then, the least pure first, terms go that are dispensable: ENOUGH of their toxic documents hold two others that stay; and others are taken for what they leave. totals: all toxic and clean documents, also those that hold no
+    candidate. A term's purity is the share of toxic ones among those that hold it, if both classes were equally large.
+    """
     rows = [np.array(sorted(d), np.int64) for d in ([{i for i, h in enumerate(held) if t in h} for t in range(n_terms)])]
-    label, open_, taken = np.array(toxic, np.int64), np.full(len(held), cover), []
-    while len(taken) < most:
-        gains = [-1 if t in taken else float((label[r] * (open_[r] > 0)).sum() - (1 - label[r]).sum() / 2) for t, r in enumerate(rows)]
-        best = int(np.argmax(gains)) if gains else -1
-        if best < 0 or gains[best] < least:
-            break
-        taken.append(best)
-        open_[rows[best]] -= 1
+    label, open_, taken, gone = np.array(toxic, np.int64), np.full(len(held), cover), [], []
+
+    def take() -> None:
+        while len(taken) < most:
+            gains = [-1 if t in taken or t in gone else float((label[r] * (open_[r] > 0)).sum() - (1 - label[r]).sum() / 2) for t, r in enumerate(rows)]
+            best = int(np.argmax(gains)) if gains else -1
+            if best < 0 or gains[best] < least:
+                break
+            taken.append(best)
+            open_[rows[best]] -= 1
+
+    take()
+    share = {t: (label[rows[t]].sum() / max(1, totals[0]), (1 - label[rows[t]]).sum() / max(1, totals[1])) for t in taken}
+    for t in sorted(taken, key=lambda t: (share[t][0] / sum(share[t]), -taken.index(t))):
+        others = cover - open_[rows[t]][label[rows[t]] == 1] - 1
+        if share[t][1] > 0 and (others >= 2).mean() >= ENOUGH:
+            taken.remove(t)
+            gone.append(t)
+            open_[rows[t]] += 1
+    take()
     return taken
 
 
@@ -179,7 +197,7 @@ def mined(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     # Bounded by SAMPLE documents of each label, and their candidates.
     own = held.select("held", "toxic").collect()
     own.sort(key=lambda r: (r["held"], r["toxic"]))
-    terms = [candidates[i] for i in chosen([set(r["held"]) for r in own], [r["toxic"] for r in own], len(candidates))]
+    terms = [candidates[i] for i in chosen([set(r["held"]) for r in own], [r["toxic"] for r in own], len(candidates), (totals[1], totals[0]))]
     return terms, refuted
 
 

@@ -70,8 +70,13 @@ def test_mining_finds_stems_and_refutes(spark):
 def test_terms_are_taken_for_open_documents():
     held = [{0, 1}, {0, 1}, {0, 1}, {0, 1}, {2}, {2}, {2}, {2}, {3}, {3}]
     toxic = [1] * 8 + [0] * 2
-    assert toxicity.chosen(held, toxic, 4, cover=1, least=2) == [0, 2]
-    assert toxicity.chosen(held, toxic, 4, cover=2, least=2) == [0, 1, 2]
+    assert toxicity.chosen(held, toxic, 4, (8, 2), cover=1, least=2) == [0, 2]
+    assert toxicity.chosen(held, toxic, 4, (8, 2), cover=2, least=2) == [0, 1, 2]
+    # An impure term that covers most goes again where pure ones cover its documents.
+    held = [{0, 1, 2}] * 20 + [{0, 3, 4}] * 20 + [{0}] * 8
+    toxic = [1] * 40 + [0] * 8
+    assert toxicity.chosen(held, toxic, 5, (40, 60)) == [1, 2, 3, 4]
+    assert toxicity.chosen([{0, 1}] * 40 + [{0}] * 8, toxic, 2, (40, 60)) == [1, 0]
 
 
 def test_label_model_against_plain_expectation_maximisation(spark):
