@@ -7,7 +7,7 @@ from ledgerlark.sources.adapters import TABLES
 
 SF = "/root/testdata/sf0.001"
 #: Queries over few rows each; the driver compares all of them.
-SOME = ["a1_same_name_sums", "j2_invoice_verification", "a12_dashboard", "a16_model_cost", "j8_missing_evidence", "a22_category_scores", "o4_validator_matches", "r2_bm25", "f40_loose_dates", "t5_hourly_rollups", "f71_nearest_lines", "p20_link_todos", "d10_human_reviews", "u8_omitted_answers"]
+SOME = ["a1_same_name_sums", "j2_invoice_verification", "a12_dashboard", "a16_model_cost", "j8_missing_evidence", "a22_category_scores", "o4_validator_matches", "r2_bm25", "f40_loose_dates", "t5_hourly_rollups", "f71_nearest_lines", "p20_link_todos", "d10_human_reviews", "u8_omitted_answers", "j3_exclusive_assignment", "d3_item_route", "f60_profile_scores", "t1_failure_rates", "t3_stuck_runs", "p1_item_layouts", "p11_document_layouts", "f15_invoice_fields", "f18_rule_laws", "o8_law_order", "a10_item_reviews", "d9_issues", "s9_agent_logs", "r9_refresh_log"]
 
 
 def test_names():
