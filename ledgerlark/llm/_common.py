@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,10 +38,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: computed once, and safe from lost executors."""
     path = fresh_path(df.sparkSession, name)
+    if getattr(_recording, "paths", None) is not None:
+        _recording.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The tables that a thread stores while it is inside recorded().
+_recording = threading.local()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that stored() makes inside, as a list that discarded() takes when nothing reads them any longer."""
+    before, _recording.paths = getattr(_recording, "paths", None), []
+    try:
+        yield _recording.paths
+    finally:
+        _recording.paths = before
+
+
+def discarded(spark: SparkSession, paths: list[str]) -> None:
+    """Removes stored tables from the shared folder, and empties the list."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_key(column: str = "text"):
     """Equal for equal texts (128 bits); null for null."""
     return F.md5(F.col(column).cast("binary"))
