@@ -10,28 +10,50 @@ rows with a null doc_id, are documents each, told apart by their texts; an empty
 
 from __future__ import annotations
 
+import functools
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import decontaminate, language, line_templates, minhash, packing
-from ledgerlark.llm._common import read_table, stored, text_key
+from ledgerlark.llm._common import discarded, read_table, recorded, stored, text_key
 
 #: Documents with a smaller share of their letters in scripts of learned languages are rejected.
 READABLE = 0.5
 
 
+#: Tables that the stage before stored for itself; its result is written when the next begins. By thread, as each runs one pipeline at a time.
+_before = threading.local()
+
+
+def _stage(function):
+    """A stage that first removes what the one before, whose result is written by now, stored for itself."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discarded(spark, getattr(_before, "paths", []))
+        with recorded() as _before.paths:
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; lang is filled in where it is null."""
     found = language.identified(docs, language.train(docs)).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("readable") >= READABLE))
     return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates, and none of which nothing else is left; n_chars follows the text."""
     found = line_templates.dedup_lines(docs, by_groups=True).filter("n_dropped = 0 OR text RLIKE '[^ \\\\s]'")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near duplicates."""
     first = minhash.near_duplicates(docs).filter("first").select(F.struct("doc_id", "text_key").alias("_id"))
@@ -39,6 +61,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no span of words with a benchmark item."""
     found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -46,6 +69,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.withColumn("_key", text_key()).join(hit, "_key", "left_anti").select(*docs.columns)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, with their ids, in sequences of 1024 tokens."""
     import public_tokenizers
