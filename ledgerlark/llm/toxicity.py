@@ -44,7 +44,7 @@ COVER = 3
 ENOUGH = 0.95
 #: A candidate's least likelihood ratio (G²), least labelled toxic documents and least share of toxic ones among those that hold it (classes as drawn).
 LEAST_G2, LEAST_TOXIC, LEAST_SHARE = 25.0, 4, 0.8
-ROUNDS = 12
+ROUNDS = 12  # whatever the input, so that the work grows with it alone
 #: Share of toxic documents, and how often a voter fires in toxic and clean ones, where no label says so.
 SHARE, FIRES, FALSE = 0.05, 0.1, 0.002
 #: Levels of a voter, and the shares of a text's words at which the second and the third begin.
@@ -283,12 +283,9 @@ def label_model(sets: DataFrame, n_voters: int, on: np.ndarray, off: np.ndarray,
                 toxic = r["a"]
             else:
                 a[divmod(r["code"], 4)], n[divmod(r["code"], 4)] = r["a"], r["n"]
-        before = on
         prior = float(np.clip((toxic + 10 * SHARE) / (n_all + 10), 1e-6, 0.5))
         on, off = _rates(a[:, 1:], toxic, FIRES), _rates((n - a)[:, 1:], n_all - toxic, FALSE)
         on = _speaking(on, off)
-        if np.abs(on - before).max() < 1e-5:
-            break
     correlation = np.zeros((n_voters, n_voters))
     if n_all:
         p = sets.withColumn("p", _posterior(*log_odds(prior, on, off, scale))).withColumn("voters", F.transform("fired", lambda x: F.shiftright(x, 2)))
