@@ -3,6 +3,7 @@ import json
 
 from ledgerlark.operators import context
 from ledgerlark.sources import readers
+from ledgerlark.sources.adapters import adapted
 
 
 def put(path, value):
@@ -50,3 +51,11 @@ def test_carried_forward_and_corpus_choice(spark):
     chunks = spark.createDataFrame([(1, False), (2, False)], "id long, is_pdf boolean")
     assert context.preferred_corpus(chunks).count() == 2
     assert context.preferred_corpus(chunks.unionByName(spark.createDataFrame([(3, True)], chunks.schema))).count() == 1
+
+
+def test_files_of_many_suppliers_have_ids_of_their_own(spark, tmp_path):
+    lines = [(1, 1005, 1), (2, 5, 1), (1, 5, 2), (3, 60_000, 1), (63, 0, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"S{k}") for k in {s for _, s, _ in lines}], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    ids = {(r.statement_id, r.item_seq): r.file_id for r in adapted(spark, str(tmp_path), "files").collect()}
+    assert len(set(ids.values())) == len(lines) and ids[2, 1] == 2005
