@@ -102,6 +102,7 @@ s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE
 g AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, max(ts) AS last, count(*) AS messages, list(event_id ORDER BY ts, event_id) AS ids, any_value(fin) AS fin, lead(min(ts)) OVER (PARTITION BY user_id ORDER BY s) AS next FROM s GROUP BY user_id, s)
 SELECT user_id, session_start, session_end, messages, array_to_string(ids[greatest(len(ids) - 19, 1):], ',') AS last_ids FROM g WHERE next IS NOT NULL OR date_trunc('milliseconds', session_end) < fin - INTERVAL 10 MINUTE""",
     "t8_first_requests": f"""WITH RECURSIVE {_E}, {_IN_TIME},
-r AS (SELECT user_id, min(ts) AS ts FROM e1 GROUP BY user_id UNION ALL SELECT r.user_id, (SELECT min(e1.ts) FROM e1 WHERE e1.user_id = r.user_id AND e1.ts >= r.ts + INTERVAL 120 MINUTE) AS ts FROM r WHERE r.ts IS NOT NULL)
-SELECT user_id, ts, min(event_id) AS event_id FROM r JOIN e1 USING (user_id, ts) GROUP BY user_id, ts""",
+r AS (SELECT user_id, min({{'a': arrival, 't': ts}}) AS p FROM e1 GROUP BY user_id
+  UNION ALL SELECT r.user_id, (SELECT min({{'a': e1.arrival, 't': e1.ts}}) FROM e1 WHERE e1.user_id = r.user_id AND e1.arrival >= r.p.a AND e1.ts >= r.p.t + INTERVAL 120 MINUTE) AS p FROM r WHERE r.p IS NOT NULL)
+SELECT e1.user_id, e1.ts, min(event_id) AS event_id FROM r JOIN e1 ON e1.user_id = r.user_id AND e1.arrival = r.p.a AND e1.ts = r.p.t GROUP BY e1.user_id, e1.ts, e1.arrival""",
 }

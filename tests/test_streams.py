@@ -1,7 +1,9 @@
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
+from ledgerlark.plans import queries
 from ledgerlark.sources.streams import Latest, drained_in_parts
 from ledgerlark.streaming import alerts
 
@@ -70,6 +72,18 @@ def test_requests_of_busy_sessions(spark):
     assert sorted((r.user_id, r.event_id) for r in got.collect()) == [(1, 0), (1, 3), (1, 5), (2, 6)] and late == 1
 
 
+def test_late_requests_find_sessions_busy_in_sql_too(spark, tmp_path):
+    # The first part ends at minute 998; the request of minute 995 comes with the second, in time.
+    rows = [(2, 0, 2), (1, 998, 1), (50, 995, 1), (4, 1300, 1), (3, 4000, 2)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, 'view', 1.0, '{}')", [(i, at(m), u) for i, m, u in rows])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = sorted((r.user_id, r.event_id) for r in queries.QUERIES["t8_first_requests"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (1, 4), (2, 2), (2, 3)]
+    assert sorted(con.sql(f"SELECT user_id, event_id FROM ({queries.ORACLES['t8_first_requests']})").fetchall()) == got
+
+
 def test_stuck_runs_over_parts(spark):
     rows = [(1, 0, False, 1.0, 0), (2, 0, False, 1.0, 0), (2, 14, True, 1.0, 1), (3, 14, False, 1.0, 1), (1, 40, True, 1.0, 2), (9, 100, True, 1.0, 2)]
     df = events(spark, rows).select(F.col("user_id").alias("run_id"), "ts", F.col("failed").alias("ended"), "arrival")
