@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 K1, B = 1.5, 0.75
 #: The constant of reciprocal rank fusion.
 FUSION = 60
-#: Queries of a block that is sent to every task.
+#: Queries of a block that is sent to every task; queries and rows that a task compares at once.
 QUERY_BLOCK = 4096
+QUERY_STEP, ROW_STEP = 256, 2048
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -44,10 +45,30 @@ def _comparable(rows: DataFrame) -> DataFrame:
     return rows.filter(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0))
 
 
+def _keep_best(score: np.ndarray, own: np.ndarray, scores: np.ndarray, ids: np.ndarray, threshold: float) -> None:
+    """Puts what is among a query's best into its row of scores and ids, best first, equal scores by id; score has a row for each query, own the ids of its columns."""
+    k = scores.shape[1]
+    least = np.maximum(scores[:, -1], threshold)
+    if score.shape[1] > k and not np.isfinite(scores[:, -1]).all():
+        least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+    at, column = np.nonzero(score >= least[:, None])
+    if not len(at):
+        return
+    hit = np.unique(at)
+    query = np.concatenate([at, np.repeat(hit, k)])
+    value, name = np.concatenate([score[at, column], scores[hit].ravel()]), np.concatenate([own[column], ids[hit].ravel()])
+    order = np.lexsort((name, -value, query))
+    # A hit query has k rows at least, the empty places of before included.
+    starts = np.searchsorted(query[order], hit)
+    best = order[starts[:, None] + np.arange(k)]
+    scores[hit], ids[hit] = value[best], name[best]
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
     """query_id, rank, id, score: the k nearest of vectors (id, vector) for queries (query_id, vector) with at least the threshold.
 
-    Queries go to every task in blocks of QUERY_BLOCK, as many passes as there are blocks; each task keeps its k best of a query.
+    Queries go to every task in blocks of QUERY_BLOCK, as many passes as there are blocks; each task keeps its k best of a query
+    and compares QUERY_STEP queries with ROW_STEP rows at once, so its memory doesn't grow with the input.
     Equal scores go to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part.
     """
     vectors, queries = _comparable(vectors), _comparable(queries)
@@ -63,18 +84,16 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, unit = shared.value
+            scores, ids = np.full((len(names), k), -np.inf), np.full((len(names), k), np.iinfo(np.int64).max)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, v = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
-                score = unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                # A batch's ids are sorted first, so that a stable sort by score gives ties to the smaller id.
-                by_id = np.argsort(ids, kind="stable")
-                best = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
-                rows = np.repeat(np.arange(len(names)), best.shape[1])
-                s = score[rows, best.ravel()]
-                ok = s >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows][ok]), pa.array(ids[best.ravel()][ok]), pa.array(s[ok])], ["query_id", "id", "score"])
+                for at in range(0, batch.num_rows, ROW_STEP):
+                    some = batch.slice(at, ROW_STEP)
+                    v = np.asarray(some.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(some.num_rows, -1)
+                    v, own = v / np.linalg.norm(v, axis=1, keepdims=True), some.column(0).to_numpy()
+                    for q in range(0, len(names), QUERY_STEP):
+                        _keep_best(unit[q : q + QUERY_STEP] @ v.T, own, scores[q : q + QUERY_STEP], ids[q : q + QUERY_STEP], threshold)
+            ok = scores > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ok.sum(axis=1))), pa.array(ids[ok]), pa.array(scores[ok])], ["query_id", "id", "score"])
 
         part = vectors.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
         found = part if found is None else found.unionByName(part)
