@@ -71,3 +71,20 @@ def test_inner_products_are_those_of_the_signs():
         turned, o = rng.normal(size=(7, d)).astype(np.float32), rng.normal(size=(30, d))
         got = onebit.inner_products(turned, np.packbits(o > 0, axis=1))
         assert np.allclose(got, turned @ np.where(o > 0, 1, -1).T / np.sqrt(d), atol=1e-4)
+
+
+def test_few_vectors_are_compared_exactly(monkeypatch):
+    # Before, the bounds let nearly every vector of 64 dimensions through to the exact comparison.
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((3000, 64))
+    o = onebit._unit(v) @ onebit.rotation(64).T
+    codes, scalars = np.packbits(o > 0, axis=1), np.abs(o).sum(axis=1) / 8
+    seen, exact = [], onebit.cosines
+    monkeypatch.setattr(onebit, "cosines", lambda a, b: seen.append(len(a)) or exact(a, b))
+    ids = np.arange(3000)
+    got = {q: list(i) for q, i, _ in onebit.search_block(v[:300], ids[:300], v, ids, codes, scalars, 5)}
+    assert sum(seen) < 300 * 10
+    unit = onebit._unit(v)
+    score = unit[:300] @ unit.T
+    score[ids[:300], ids[:300]] = -2
+    assert got == {q: list(np.argsort(-score[q], kind="stable")[:5]) for q in range(300)}
