@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, nested, text
 from ..sources.adapters import adapted, oracle_with, read
+from ..sources.shared import stored
 
 
 def f1_vendor_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,8 +126,12 @@ def f25_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 def f4_text_sets(spark: SparkSession, sf: str) -> DataFrame:
     parts = read(spark, sf, "part").select("p_partkey", "p_name", "p_type")
-    x, y = text.normalised(F.col("p_name")), text.normalised(F.concat_ws(" ", "p_name", "p_type"))
-    return parts.select("p_partkey", F.round(text.jaccard(text.bigrams(x), text.bigrams(y)), 6).alias("bigram"), F.round(text.jaccard(text.tokens(x), text.tokens(y)), 6).alias("token"), F.size(text.rule_tokens(F.col("p_type"), ["economy"])).alias("rule_tokens"))
+    # Sets are made and compared once for each distinct name and type. A missing one counts as empty.
+    names = parts.select("p_partkey", *[F.coalesce(c, F.lit("")).alias(c) for c in ("p_name", "p_type")])
+    sets = names.select("p_name", "p_type").distinct().withColumns({"_x": text.normalised(F.col("p_name")), "_y": text.normalised(F.concat_ws(" ", "p_name", "p_type"))})
+    sets = sets.withColumns({"_xb": text.bigrams(F.col("_x")), "_yb": text.bigrams(F.col("_y")), "_xt": text.tokens(F.col("_x")), "_yt": text.tokens(F.col("_y"))})
+    each = sets.select("p_name", "p_type", F.round(text.jaccard(F.col("_xb"), F.col("_yb")), 6).alias("bigram"), F.round(text.jaccard(F.col("_xt"), F.col("_yt")), 6).alias("token"), F.size(text.rule_tokens(F.col("p_type"), ["economy"])).alias("rule_tokens"))
+    return names.join(stored(each, "text-sets"), ["p_name", "p_type"]).select("p_partkey", "bigram", "token", "rule_tokens")
 
 
 def f77_usage_tokens(spark: SparkSession, sf: str) -> DataFrame:
