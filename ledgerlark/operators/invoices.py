@@ -52,18 +52,22 @@ def invoice_fields(texts: DataFrame, column: str = "text") -> DataFrame:
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), r"\r\n|[\n\r\x0b\x0c\u0085  ]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     rows = texts.withColumn("_lines", lines).withColumn("_text", F.array_join("_lines", " ")).drop(column)
     joined, by_line = F.col("_text"), F.col("_lines")
-    numbers = F.transform(F.regexp_extract_all(joined, F.lit(NUMBER), F.lit(1)), text.business_number)
     amounts = {k: _amount(joined, labels) for k, labels in AMOUNT_LABELS.items()}
-    labelled = [dates.loose_date(F.nullif(F.regexp_extract(joined, f"{label}{AFTER}{DATE}", 1), F.lit(""))) for label in DATE_LABELS]
+    # What is read more than once is found in the text once, as a column of its own: a date's parts and checks, and the supply and tax of a sum.
+    shown = {f"_date_{i}": F.nullif(F.regexp_extract(joined, f"{label}{AFTER}{DATE}", 1), F.lit("")) for i, label in enumerate(DATE_LABELS)}
+    shown["_date_plain"] = F.nullif(F.regexp_extract(joined, PLAIN_DATE, 1), F.lit(""))
+    once = {"_numbers": F.regexp_extract_all(joined, F.lit(NUMBER), F.lit(1)), **{f"_{k}": v for k, v in amounts.items()}}
+    rows = rows.withColumns({**shown, **once})
+    numbers, amounts = F.transform("_numbers", text.business_number), {k: F.col(f"_{k}") for k in amounts}
     found = {
         "supplier": F.coalesce(_first(joined, [label + PARTY for label in SUPPLIER_LABELS]), _next_line(by_line, SUPPLIER_LABELS)),
         "supplier_number": F.get(numbers, F.lit(0)),
         "representative": _first(joined, [REPRESENTATIVE]),
         "buyer": _first(joined, [label + PARTY for label in BUYER_LABELS]),
         "buyer_number": F.get(numbers, F.lit(1)),
-        "issue_date": F.coalesce(*labelled, dates.loose_date(F.nullif(F.regexp_extract(joined, PLAIN_DATE, 1), F.lit("")))),
+        "issue_date": F.coalesce(*[dates.loose_date(F.col(c)) for c in shown]),
         "supply_amount": amounts["supply"],
         "tax_amount": amounts["tax"],
         "total_amount": F.coalesce(amounts["total"], amounts["supply"] + amounts["tax"]),
     }
-    return rows.withColumns(found).drop("_lines", "_text")
+    return rows.withColumns(found).drop("_lines", "_text", *shown, *once)
