@@ -1,8 +1,9 @@
 import datetime as dt
 import json
+import os
 
 from ledgerlark.operators import context
-from ledgerlark.sources import readers
+from ledgerlark.sources import readers, shared
 from ledgerlark.sources.adapters import adapted
 
 
@@ -59,3 +60,16 @@ def test_files_of_many_suppliers_have_ids_of_their_own(spark, tmp_path):
     spark.createDataFrame([(k, f"S{k}") for k in {s for _, s, _ in lines}], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     ids = {(r.statement_id, r.item_seq): r.file_id for r in adapted(spark, str(tmp_path), "files").collect()}
     assert len(set(ids.values())) == len(lines) and ids[2, 1] == 2005
+
+
+def test_shuffles_have_partitions_by_the_size_of_the_input(spark, monkeypatch):
+    key, tables = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "/root/testdata/sf0.001"
+    size = sum(os.path.getsize(f"{tables}/{t}.parquet") for t in ("lineitem", "orders", "part", "supplier"))
+    adapted(spark, tables, "items")
+    assert int(spark.conf.get(key)) == 4  # the session's own number is the least
+    monkeypatch.setattr(shared, "INPUT_BYTES", size // 10)
+    adapted(spark, tables, "items")
+    assert int(spark.conf.get(key)) in (10, 11)
+    monkeypatch.undo()
+    adapted(spark, tables, "items")
+    assert int(spark.conf.get(key)) == 4
