@@ -28,6 +28,13 @@ LINE_ALIASES = {
     "receipt": {"name": ["name"], "count": ["count"], "unit_price": ["unit_price"]},
 }
 
+#: What documents are read as, all fields at once; a value of another type is null.
+LINE = "struct<item_name: string, name: string, count: double, quantity: double, unit_price: double, supply_amount: bigint, tax_amount: bigint, amount: bigint>"
+DOCUMENT = (
+    "struct<vendor: string, date: string, issue_date: string, supplier: struct<company_name: string>, store: struct<name: string>, payment: struct<date: string>, total_amount: bigint, infer_result: string, "
+    f"items: array<{LINE}>, validation: struct<is_valid: boolean, has_required_fields: boolean, items_sum_match: boolean, warnings: array<string>, errors: array<string>>>"
+)
+
 
 def _path(alias: str) -> str:
     return "$" + "".join(f"['{key}']" for key in alias.split("."))
@@ -37,11 +44,15 @@ def value(v: Column, alias: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, _path(alias), kind)
 
 
+def _filled(found: list[Column], nothing) -> Column:
+    """The first that has a value; empty texts and zeros (nothing) are none, unless nothing follows."""
+    return F.coalesce(*[F.nullif(c, F.lit(nothing)) for c in found], found[-1])
+
+
 def first_of(v: Column, aliases: list[str], kind: str = "string") -> Column:
     """The first alias with a value; empty texts and zeros are none, unless nothing follows."""
     nothing = {"string": "", "double": 0.0, "bigint": 0}[kind]
-    found = [F.nullif(value(v, a, kind), F.lit(nothing)) for a in aliases]
-    return F.coalesce(*found, value(v, aliases[-1], kind)) if aliases else F.lit(None).cast(kind)
+    return _filled([value(v, a, kind) for a in aliases], nothing) if aliases else F.lit(None).cast(kind)
 
 
 def has_key(v: Column, alias: str) -> Column:
@@ -78,34 +89,45 @@ def documents(rows: DataFrame, raw: str = "raw", kind: str = "kind") -> DataFram
     kind is wage_statement, receipt or anything else for delivery statements. A delivery line's amount is supply and tax, or the supply, or null. Without an infer_result a receipt is an
     ERROR, other documents are a SUCCESS if they are valid or have the required fields, else PARTIAL. A receipt's errors are warnings too. What is no JSON object has nulls.
     """
-    parsed = rows.withColumn("_v", F.try_parse_json(raw)).drop(raw)
-    v = F.col("_v")
-    there = v.isNotNull() & F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    # One conversion to a struct gives all fields and lines; what is no object has none.
+    parsed = rows.withColumn("_v", F.try_parse_json(raw)).drop(raw).withColumn("_d", F.try_variant_get("_v", "$", DOCUMENT))
+    d = F.col("_d")
     doc_type = F.when(F.col(kind).isin("wage_statement", "receipt"), F.col(kind)).otherwise("delivery_statement")
-    is_receipt, is_wage = doc_type == "receipt", doc_type == "wage_statement"
+    is_receipt, is_wage = F.coalesce(F.col(kind) == "receipt", F.lit(False)), F.coalesce(F.col(kind) == "wage_statement", F.lit(False))
+
+    def field(of: Column, alias: str) -> Column:
+        for key in alias.split("."):
+            of = of[key]
+        return of
 
     def by_kind(of) -> Column:
         return F.when(is_wage, of("wage_statement")).when(is_receipt, of("receipt")).otherwise(of("delivery_statement"))
 
-    def line(x: Column) -> Column:
-        supply, tax = value(x, "supply_amount", "bigint"), value(x, "tax_amount", "bigint")
-        amount = F.when(is_wage | is_receipt, value(x, "amount", "bigint")).otherwise(F.coalesce(supply + tax, supply))
-        names = {n: by_kind(lambda k, n=n: first_of(x, LINE_ALIASES[k][n], "string" if n == "name" else "double")) for n in ("name", "count", "unit_price")}
-        return F.struct(F.coalesce(names["name"], F.lit("")).alias("name"), names["count"].alias("count"), names["unit_price"].alias("unit_price"), amount.alias("amount"))
+    def first(of: Column, aliases: list[str], nothing) -> Column:
+        return _filled([field(of, a) for a in aliases], nothing) if aliases else F.lit(None).cast("string" if nothing == "" else "double")
+
+    def lines(key: str) -> Column:
+        def line(x: Column) -> Column:
+            amount = x["amount"] if key in ("wage_statement", "receipt") else F.coalesce(x["supply_amount"] + x["tax_amount"], x["supply_amount"])
+            names = {n: first(x, LINE_ALIASES[key][n], "" if n == "name" else 0.0) for n in ("name", "count", "unit_price")}
+            return F.struct(F.coalesce(names["name"], F.lit("")).alias("name"), names["count"].alias("count"), names["unit_price"].alias("unit_price"), amount.alias("amount"))
+
+        return F.transform(d["items"], line)
 
-    flag = lambda alias: F.coalesce(value(v, f"validation.{alias}", "boolean"), F.lit(False))
-    texts = lambda alias: F.coalesce(F.try_variant_get(v, _path(f"validation.{alias}"), "array<string>"), F.array().cast("array<string>"))
-    stated = F.nullif(value(v, "infer_result"), F.lit(""))
-    result = F.when(is_receipt, F.coalesce(value(v, "infer_result"), F.when(~has_key(v, "infer_result"), F.lit("ERROR")))).otherwise(F.coalesce(stated, F.when(flag("is_valid") | flag("has_required_fields"), "SUCCESS").otherwise("PARTIAL")))
+    checks = d["validation"]
+    flag = lambda alias: F.coalesce(checks[alias], F.lit(False))
+    texts = lambda alias: F.coalesce(checks[alias], F.array().cast("array<string>"))
+    stated = F.nullif(d["infer_result"], F.lit(""))
+    result = F.when(is_receipt, F.coalesce(d["infer_result"], F.when(~has_key(F.col("_v"), "infer_result"), F.lit("ERROR")))).otherwise(F.coalesce(stated, F.when(flag("is_valid") | flag("has_required_fields"), "SUCCESS").otherwise("PARTIAL")))
     found = {
         "doc_type": doc_type,
         "infer_result": result,
-        "vendor": by_kind(lambda k: first_of(v, DOCUMENT_ALIASES[k]["vendor"])),
-        "date": by_kind(lambda k: first_of(v, DOCUMENT_ALIASES[k]["date"])),
-        "total_amount": value(v, "total_amount", "bigint"),
-        "lines": F.coalesce(F.transform(F.try_variant_get(v, "$.items", "array<variant>"), line), F.array().cast("array<struct<name: string, count: double, unit_price: double, amount: bigint>>")),
+        "vendor": by_kind(lambda k: first(d, DOCUMENT_ALIASES[k]["vendor"], "")),
+        "date": by_kind(lambda k: first(d, DOCUMENT_ALIASES[k]["date"], "")),
+        "total_amount": d["total_amount"],
+        "lines": F.coalesce(by_kind(lines), F.array().cast("array<struct<name: string, count: double, unit_price: double, amount: bigint>>")),
         "is_valid": F.when(is_receipt, flag("has_required_fields")).otherwise(flag("is_valid")),
-        "sums_match": F.when(is_receipt, value(v, "validation.items_sum_match", "boolean")),
+        "sums_match": F.when(is_receipt, checks["items_sum_match"]),
         "warnings": F.when(is_receipt, F.concat(texts("warnings"), texts("errors"))).otherwise(texts("warnings")),
     }
-    return parsed.withColumns({n: F.when(there, c) for n, c in found.items()}).drop("_v")
+    return parsed.withColumns({n: F.when(d.isNotNull(), c) for n, c in found.items()}).drop("_v", "_d")

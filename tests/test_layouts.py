@@ -41,3 +41,13 @@ def test_layouts_of_documents(spark):
         3: ("receipt", "ERROR", "R", "2024-02-03", 5, [("q", 1.0, None, 5)], True, False, ["a", "b"]),
         4: ("receipt", None, None, None, None, [], False, None, []), 5: (None, None, None, None, None, [], None, None, None),
     }
+
+
+def test_a_document_is_converted_once(spark):
+    rows = spark.createDataFrame([(1, "receipt", '{"store": {"name": "s"}, "items": [{"name": "a", "count": "x", "amount": 5}, 7], "validation": {"errors": ["e"]}}'), (2, "receipt", "[1]")], "id long, kind string, raw string")
+    out = layouts.documents(rows)
+    # One conversion, and one look for a key.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(") <= 2
+    one, two = out.orderBy("id").collect()
+    assert [tuple(x) for x in one.lines] == [("a", None, None, 5), ("", None, None, None)] and (one.infer_result, one.warnings) == ("ERROR", ["e"])
+    assert two.doc_type is None and two.lines is None
