@@ -30,9 +30,15 @@ def level(word: Column) -> Column:
     return out
 
 
+def at_key(details: Column, key: str) -> Column:
+    """What JSON details have at a key. Only texts in which the key, or an escape that may write it, occurs are parsed."""
+    there = F.contains(details, F.lit(key)) | F.contains(details, F.lit("\\"))
+    return F.when(there, F.get_json_object(details, f"$['{key}']"))
+
+
 def detail(details: Column, keys: list[str]) -> Column:
     """The first key of JSON details with a value that isn't empty."""
-    found = [F.nullif(F.get_json_object(details, f"$['{k}']"), F.lit("")) for k in keys]
+    found = [F.nullif(at_key(details, k), F.lit("")) for k in keys]
     return F.coalesce(*found)
 
 
@@ -78,7 +84,7 @@ def issues(reviews: DataFrame, keys: list[str], classified: DataFrame, judged: D
     said = classified.select(*keys, F.nullif("reason", F.lit("")).alias("_class"))
     order = [F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), F.col("log_id").cast("long").alias("id")]
     source = "array<struct<legal_basis: string, `조항`: string, article_no: string>>"
-    lists = F.coalesce(*[F.from_json(F.get_json_object("details", f"$['{k}']"), source) for k in ("sources", "citations", "출처")])
+    lists = F.coalesce(*[F.from_json(at_key(F.col("details"), k), source) for k in ("sources", "citations", "출처")])
     bases = F.filter(F.transform(lists, lambda c: F.coalesce(F.nullif(c["legal_basis"], F.lit("")), F.nullif(c["조항"], F.lit("")), F.nullif(c["article_no"], F.lit("")))), lambda b: b.isNotNull())
     rows = logs.join(bad.select(*keys), keys, "left_semi").select(*keys, *order, detail(F.col("details"), BASIS_KEYS).alias("basis"), detail(F.col("details"), ACTION_KEYS).alias("action"), detail(F.col("details"), PROBLEM_KEYS).alias("problem"), bases.alias("cited"))
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("at", "id", c)))[c]

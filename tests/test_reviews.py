@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from ledgerlark.operators import reviews
 
 KEYS = ["item_id"]
@@ -42,3 +44,13 @@ def test_empty_tables(spark):
     items, classified, judged, logs, needed = frames(spark, n=2)
     found = reviews.item_reviews(items, KEYS, classified, judged.drop("citations"), logs, needed)
     assert {r.decision for r in found.collect()} == {"appropriate"} and reviews.issues(found, KEYS, classified, judged.drop("citations"), logs).count() == 0
+
+
+def test_details_are_parsed_only_where_a_key_occurs(spark):
+    texts = ['{"action": "a"}', '{"summary": "s", "basis": ""}', '{"\\uc870\\ud56d": "escaped"}', '{"조항": "plain"}', "{}", None, "no action", '{"x": {"basis": 1}}', '[{"basis": "b"}]', '{"basis": {"k": [1, 2]}}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, details string").orderBy("n")
+    kinds = (reviews.BASIS_KEYS, reviews.ACTION_KEYS)
+    plain = [F.coalesce(*[F.nullif(F.get_json_object("details", f"$['{k}']"), F.lit("")) for k in ks]) for ks in kinds]
+    got = [tuple(r) for r in rows.select(*[reviews.detail(F.col("details"), ks) for ks in kinds], *plain).collect()]
+    assert [r[:2] for r in got] == [r[2:] for r in got] and (got[2][0], got[3][0], got[0][1]) == ("escaped", "plain", "a")
+    assert all("contains" in str(reviews.detail(F.col("details"), [k])).lower() for ks in kinds for k in ks)
