@@ -12,35 +12,42 @@ SUPPLIER_LABELS = ["공급자", "공급 자", "판매자", "발행자"]
 BUYER_LABELS = ["공급받는자", "공급 받는 자", "구매자", "매입자"]
 DATE_LABELS = ["작성일자", "발행일자", "발행일", "작성일", "공급일자", "거래일자"]
 AMOUNT_LABELS = {"supply": ["공급가액합계", "공급가액 합계", "공급가액"], "tax": ["세액합계", "세액 합계", "세액"], "total": ["합계금액", "합 계", "합계", "청구금액", "총액"]}
-#: What stands after labels, and patterns of a party's name, a representative, a business number and a plain date. Fixed values.
+#: What stands after labels, and patterns of a party's name and a representative after their labels, a business number and a plain date. Fixed values.
 AFTER = r"\s*[：:\s]\s*"
 DATE = r"(\d{4}[.\-/년]\s*\d{1,2}[.\-/월]\s*\d{1,2}일?)"
 PARTY = r".{0,30}상호\s*[：:\s]\s*([^\s,;|]+(?:\s[^\s,;|]+){0,3})"
-REPRESENTATIVE = r"대표자?\s*[：:\s]\s*([가-힣]{2,5}(?:\s[가-힣]{1,5})?)"
+REPRESENTATIVE = r"자?\s*[：:\s]\s*([가-힣]{2,5}(?:\s[가-힣]{1,5})?)"
 NUMBER = r"(?<![0-9A-Za-z_가-힣])(\d{3}[-\s]?\d{2}[-\s]?\d{5})(?![0-9A-Za-z_가-힣])"
 PLAIN_DATE = r"(\d{4}[.\-/]\d{2}[.\-/]\d{2})"
 LONGEST_NAME = 30
+#: What is cut off the ends of a line.
+BLANKS = " \t\x0b\f"
 
 
-def _first(joined: Column, patterns: list[str]) -> Column:
-    """What the first pattern that is met gives at its first place."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(joined, p, 1), F.lit("")) for p in patterns])
+def _found(joined: Column, label: str, pattern: str) -> Column:
+    """What a pattern that begins with the label gives at its first place, empty if nothing; null without the label, which is looked for before the pattern."""
+    return F.when(F.contains(joined, F.lit(label)), F.regexp_extract(joined, pattern, 1))
 
 
-def _next_line(lines: Column, labels: list[str]) -> Column:
+def _first(joined: Column, labels: list[str], rest: str) -> Column:
+    """What the first pattern, a label and the rest, that is met gives at its first place."""
+    return F.coalesce(*[F.nullif(_found(joined, label, label + rest), F.lit("")) for label in labels])
+
+
+def _next_line(joined: Column, lines: Column, labels: list[str]) -> Column:
     """The line after the first one with a label, if it doesn't begin with a digit; else after the next such line, then by the next label."""
 
     def after(label: str) -> Column:
         pairs = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.get(F.filter(pairs, lambda p: F.contains(p["a"], F.lit(label)) & p["b"].isNotNull() & ~F.rlike(p["b"], F.lit(r"^\d"))), F.lit(0))["b"]
+        of = F.filter(pairs, lambda p: F.contains(p["a"], F.lit(label)) & p["b"].isNotNull() & ~F.rlike(p["b"], F.lit(r"^\d")))
+        return F.when(F.contains(joined, F.lit(label)), F.get(of, F.lit(0))["b"])
 
     return F.substring(F.coalesce(*[after(label) for label in labels]), 1, LONGEST_NAME)
 
 
-def _amount(joined: Column, labels: list[str]) -> Column:
-    """The number after the first label that has one that isn't 0."""
-    found = [F.try_to_number(F.nullif(F.replace(F.regexp_extract(joined, rf"{label}\s*[：:\s]?\s*([\d,]+)", 1), F.lit(","), F.lit("")), F.lit("")), F.lit("9" * 18)).cast("long") for label in labels]
-    return F.coalesce(*[F.nullif(n, F.lit(0)) for n in found])
+def _number(found: Column) -> Column:
+    """The number of digits and commas; null if it is 0 or none."""
+    return F.nullif(F.try_to_number(F.nullif(F.replace(found, F.lit(","), F.lit("")), F.lit("")), F.lit("9" * 18)).cast("long"), F.lit(0))
 
 
 def invoice_fields(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -49,25 +56,27 @@ def invoice_fields(texts: DataFrame, column: str = "text") -> DataFrame:
     The supplier's name stands after its label and 상호, else on the line after its label; the first two business numbers are the supplier's and the buyer's. A date that isn't one is passed over; without a labelled
     one the first plain date counts. Without a total, supply and tax are summed. Null or empty texts have no fields.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), r"\r\n|[\n\r\x0b\x0c\u0085  ]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), r"\r\n|[\n\r\x0b\x0c\u0085  ]"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
     rows = texts.withColumn("_lines", lines).withColumn("_text", F.array_join("_lines", " ")).drop(column)
     joined, by_line = F.col("_text"), F.col("_lines")
-    amounts = {k: _amount(joined, labels) for k, labels in AMOUNT_LABELS.items()}
-    # What is read more than once is found in the text once, as a column of its own: a date's parts and checks, and the supply and tax of a sum.
-    shown = {f"_date_{i}": F.nullif(F.regexp_extract(joined, f"{label}{AFTER}{DATE}", 1), F.lit("")) for i, label in enumerate(DATE_LABELS)}
-    shown["_date_plain"] = F.nullif(F.regexp_extract(joined, PLAIN_DATE, 1), F.lit(""))
-    once = {"_numbers": F.regexp_extract_all(joined, F.lit(NUMBER), F.lit(1)), **{f"_{k}": v for k, v in amounts.items()}}
-    rows = rows.withColumns({**shown, **once})
-    numbers, amounts = F.transform("_numbers", text.business_number), {k: F.col(f"_{k}") for k in amounts}
+    # What patterns find is a column before it is read, so a text is searched once for each label that it has; numbers and dates are made in lambdas, as one
+    # expression they are a method that the JVM doesn't compile. Of several labels the first with a number, or a date, counts; dates are mostly there twice.
+    labels = [label for own in AMOUNT_LABELS.values() for label in own]
+    amounts = F.array(*[_found(joined, label, rf"{label}\s*[：:\s]?\s*([\d,]+)") for label in labels])
+    shown = F.array(*[_found(joined, label, f"{label}{AFTER}{DATE}") for label in DATE_LABELS], F.regexp_extract(joined, PLAIN_DATE, 1))
+    rows = rows.withColumns({"_amounts": amounts, "_dates": shown, "_numbers": F.regexp_extract_all(joined, F.lit(NUMBER), F.lit(1))})
+    rows = rows.withColumns({"_amounts": F.transform("_amounts", _number), "_dates": F.transform(F.array_distinct("_dates"), dates.loose_date)})
+    numbers = F.transform("_numbers", text.business_number)
+    amounts = {k: F.coalesce(*[F.get("_amounts", F.lit(labels.index(label))) for label in own]) for k, own in AMOUNT_LABELS.items()}
     found = {
-        "supplier": F.coalesce(_first(joined, [label + PARTY for label in SUPPLIER_LABELS]), _next_line(by_line, SUPPLIER_LABELS)),
+        "supplier": F.coalesce(_first(joined, SUPPLIER_LABELS, PARTY), _next_line(joined, by_line, SUPPLIER_LABELS)),
         "supplier_number": F.get(numbers, F.lit(0)),
-        "representative": _first(joined, [REPRESENTATIVE]),
-        "buyer": _first(joined, [label + PARTY for label in BUYER_LABELS]),
+        "representative": _first(joined, ["대표"], REPRESENTATIVE),
+        "buyer": _first(joined, BUYER_LABELS, PARTY),
         "buyer_number": F.get(numbers, F.lit(1)),
-        "issue_date": F.coalesce(*[dates.loose_date(F.col(c)) for c in shown]),
+        "issue_date": F.get(F.array_compact("_dates"), F.lit(0)),
         "supply_amount": amounts["supply"],
         "tax_amount": amounts["tax"],
         "total_amount": F.coalesce(amounts["total"], amounts["supply"] + amounts["tax"]),
     }
-    return rows.withColumns(found).drop("_lines", "_text", *shown, *once)
+    return rows.withColumns(found).drop("_lines", "_text", "_amounts", "_dates", "_numbers")

@@ -24,3 +24,25 @@ def test_fields(spark):
         ("Second Co", "987-65-43210", None, None, None, dt.date(2024, 5, 6), None, None, None),
         (None,) * 9, (None,) * 9, (None,) * 8 + (12345,),
     ]
+
+
+def test_first_label_with_a_value_counts(spark):
+    got = read(spark, "발행일 2024-13-01 작성일자 2024-02-30 거래일자 2024.1.2 공급일자 2023-01-01 합계금액 0 총액 7 청구금액 , 대표 이영희 \u00a0\n상호: x 공급자", " \t공급자 \x0b\n\t Firma \f\n발행일: 2024-03-04")
+    assert got == [(None, None, "이영희", None, None, dt.date(2023, 1, 1), None, None, 7), ("Firma", None, None, None, None, dt.date(2024, 3, 4), None, None, None)]
+
+
+def test_fields_are_found_in_methods_that_the_jvm_compiles(spark):
+    # The JVM compiles no method over 8000 bytes.
+    import contextlib
+    import io
+    import re
+
+    out, before = io.StringIO(), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        texts = spark.range(10).selectExpr("id AS n", "'발행일 ' || id AS text").repartition(2)
+        with contextlib.redirect_stdout(out):
+            invoices.invoice_fields(texts).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())) < 8000
